@@ -5,26 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.llm.decontaminate import contamination
 from tessera.llm.exact_dedup import exact_groups
+from tessera.llm.html_extract import extract_text
+from tessera.llm.langid import identify
 from tessera.llm.packing import pack_documents
+from tessera.llm.quality import score_quality
 from tessera.llm.sharding import feistel_shards
+from tessera.llm.simhash import near_groups
 from tessera.llm.sstable import encode_to_shards
+from tessera.llm.toxicity import toxicity
+
+
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0..7 by the law `rows`."""
-    from pyspark.sql import functions as F
-
     out = feistel_shards(table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -33,9 +62,19 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_shards(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (op1_simhash_near_dedup, op2_language_id, op3_decontamination, op4_sharding, op5_html_extraction, op6_exact_dedup, op7_quality, op8_toxicity, op9_best_fit_packing, op10_token_shards)
+
+#: Equal texts by normalised text. DuckDB's regular expressions spell the same class.
+_OP6 = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
+FROM n JOIN g USING (t)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op6_exact_dedup, op9_best_fit_packing, op10_token_shards)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_dedup": _OP6}
