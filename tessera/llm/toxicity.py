@@ -1,7 +1,7 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling.
 
 Every word enters as the sum of a word vector (hashed) and the mean of its character
-n-gram vectors (hashed n-grams of 3 and 4 bytes with word ends).  A forward and a
+n-gram vectors (hashed n-grams of 3 to 5 bytes with word ends).  A forward and a
 backward recurrent layer read a window of words, attention pools the states, a logistic
 unit scores the window.  A text is cut into overlapping windows, all of them are
 scored, and the text's score is that of its highest window.
@@ -34,8 +34,8 @@ from tessera.llm.common import need, prepare, texts_of
 from tessera.llm.langid import held_out_flag
 
 HIDDEN, EMBED, WINDOW, STRIDE = 12, 16, 64, 48
-WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 14
-SAMPLE, EPOCHS, SEED, BATCH = 2500, 5, 5, 48
+WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 14, 1 << 15, (3, 4, 5)
+SAMPLE, EPOCHS, SEED, BATCH = 3000, 4, 5, 48
 CACHE_WORDS = 200_000
 #: Windows that run through the recurrence at a time.
 ROWS = 1024
@@ -67,7 +67,7 @@ def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     mixed = _spread(line * np.uint64(1_000_003) + place.astype(np.uint64) * np.uint64(7_368_787) + np.uint64(1))
     word = (np.add.reduceat(mixed, first) >> np.uint64(7)) % np.uint64(WORD_ROWS) if len(words) else np.zeros(0, np.uint64)
     rows, owners = [], []
-    for n in (3, 4):
+    for n in GRAMS:
         if len(line) < n:
             continue
         gram = np.zeros(len(line) - n + 1, np.uint64)
@@ -262,7 +262,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
                 rows_g, inv = np.unique(gram, return_inverse=True)
                 gg = np.zeros((len(rows_g), EMBED), np.float32)
                 np.add.at(gg, inv, dx[gowner] / np.sqrt(n[gowner, None]))
-                grads["gram"], where["gram"] = gg, {"word": rows_w, "gram": rows_g}["gram"]
+                grads["gram"], where["gram"] = gg, rows_g
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             if norm > 5:
                 grads = {k: g * (5 / norm) for k, g in grads.items()}
