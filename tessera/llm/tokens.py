@@ -12,11 +12,15 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+from array import array
+from itertools import islice
 
 import numpy as np
 
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
+_MARKS = b",.;:!?%$#&*|)"
 
 
 def default_vocabulary() -> str:
@@ -49,26 +53,55 @@ class Encoder:
         self.chunked, self.limit, self.cache = splits_at_blanks(path), cache_words, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        if sys.byteorder == "little":
+            return [array("I", e.ids).tobytes() for e in coded]
+        return [np.array(e.ids, "<u4").tobytes() for e in coded]
+
+    def _chunks(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of chunks that are not in the cache.
+
+        A chunk that ends in a run of marks after a letter or ASCII digit is split there
+        by the tokenizer too, so the two parts are looked up on their own.
+        """
+        whole, parts = {}, []
+        for w in words:
+            stem = w.rstrip(_MARKS)
+            if 0 < len(stem) < len(w) and (stem[-1] < 128 and stem[-1:].isalnum() or stem[-1] >= 128 and stem.decode("utf-8")[-1].isalpha()):
+                parts.append((w, stem, w[len(stem) :]))
+                whole[stem] = whole[w[len(stem) :]] = None
+            else:
+                whole[w] = None
+        out = {w: self.cache.get(w) for w in whole}
+        todo = [w for w, v in out.items() if v is None]
+        for i in range(0, len(todo), 20_000):
+            part = todo[i : i + 20_000]
+            out.update(zip(part, self._encode([w.decode("utf-8") for w in part]), strict=True))
+        for w, stem, marks in parts:
+            out[w] = out[stem] + out[marks]
+        return out
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if not self.chunked:
             return self._encode([t.decode("utf-8") for t in texts])
-        cache, out = self.cache, []
+        found, missing = [], {}
         for text in texts:
             # ASCII letters may be lowered first where no combining mark can follow.
             plain = text.isascii() or np.frombuffer(text, np.uint8).max() < 0xCC
             words = (text.lower() if plain else text).split()
-            missing = list(set(words).difference(cache))
-            if missing:
-                if len(cache) + len(missing) > self.limit:
-                    cache.clear()
-                    missing = list(set(words))
-                for i in range(0, len(missing), 20_000):
-                    part = missing[i : i + 20_000]
-                    cache.update(zip(part, self._encode([w.decode("utf-8") for w in part]), strict=True))
-            out.append(b"".join(map(cache.__getitem__, words)))
-        return out
+            ids = list(map(self.cache.get, words))
+            gaps = [(k, words[k]) for k, v in enumerate(ids) if v is None] if None in ids else []
+            missing.update((w, None) for _, w in gaps)
+            found.append((ids, gaps))
+        if missing:
+            missing = self._chunks(list(missing))
+            for ids, gaps in found:
+                for k, w in gaps:
+                    ids[k] = missing[w]
+            self.cache.update(missing)
+            if len(self.cache) > self.limit:  # words met first are the frequent ones
+                self.cache = dict(islice(self.cache.items(), self.limit // 4))
+        return [b"".join(ids) for ids, _ in found]
 
 
 _ENCODERS: dict[str, Encoder] = {}
