@@ -11,6 +11,19 @@ from pyspark.sql import SparkSession
 PACKAGE = Path(__file__).resolve().parent
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, where it is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            root = held.get()
+        else:
+            root = "file://" + tempfile.mkdtemp(prefix="tessera-")
+            spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable on every executor, once for each Spark application."""
     sc = spark.sparkContext
