@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values of the recognised formats.
 DIGIT_REPAIR = ("OoIlS", "00115")
@@ -19,7 +20,7 @@ INTEGER_LIMIT = {"level": 15, "short_integer": 99, "small_integer": 99, "large_i
 SECRET_PATTERNS = (r"(?i)(authorization|cookie|api[_-]?key|access[_-]?token)\s*[:=]\s*['\"]?[A-Za-z0-9+/=_-]{12,}", r"(?i)bearer\s+[A-Za-z0-9._~+/=-]{12,}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 

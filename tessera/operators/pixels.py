@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 SIZE, MARGIN, RADIUS = 64, 0.055, 0.45
 SCALES, SHIFTS = (0.92, 0.96, 1.0, 1.04, 1.08), (-2, 0, 2)
@@ -155,7 +156,7 @@ def best_offset(plane: np.ndarray, template: np.ndarray, exclude: int) -> tuple[
     return int(x), int(y), float(r[y, x]), float(r[far].max()) if far.any() else 0.0
 
 
-@F.pandas_udf("struct<phash:string,sharpness:double,dynamic_range:double,blockiness:double>")
+@F.pandas_udf(StructType([StructField("phash", StringType()), *[StructField(c, DoubleType()) for c in ("sharpness", "dynamic_range", "blockiness")]]))
 def image_features(height: pd.Series, width: pd.Series, data: pd.Series) -> pd.DataFrame:
     """Hash and quality of image rows, an Arrow batch at a time."""
     rows = []

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluation as E
@@ -114,12 +113,18 @@ def inventory_differences(spark, d):
     return differ(c.where("c_custkey % 10 <> 0"), c.where("c_custkey % 10 <> 1"), ["c_custkey", "c_mktsegment"])
 
 
-@query("K9", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE false")
+_PARITY = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, max(l_tax) AS tax FROM lineitem GROUP BY ALL"
+
+
+@query("K9", f"SELECT l_orderkey, l_linenumber, l_partkey FROM ({_PARITY}) WHERE l_suppkey % 7 = 0 OR l_linenumber = 7")
 def ordered_parity(spark, d):
+    """An export against one with changed values and one with missing rows."""
     from tessera.sources.documents import ordered_parity as parity
 
-    li = table(spark, d, "lineitem").withColumn("ord", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")).groupBy("ord").agg(F.max("l_tax").alias("l_tax"))
-    return parity(li, li, "ord", ["l_tax"]).select("ord.l_orderkey", "ord.l_linenumber", "ord.l_partkey")
+    place = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+    li = table(spark, d, "lineitem").groupBy(F.struct(*place).alias("ord")).agg(F.max("l_tax").alias("tax"))
+    other = li.where("ord.l_linenumber <> 7").withColumn("tax", F.when(F.col("ord.l_suppkey") % 7 == 0, F.col("tax") + 1).otherwise(F.col("tax")))
+    return parity(li, other, "ord", ["tax"]).select("ord.l_orderkey", "ord.l_linenumber", "ord.l_partkey")
 
 
 # Geometry.
@@ -273,8 +278,6 @@ def entity_display(spark, d):
     return rows.select("doc_id", F.when(F.col("toxic").isNull(), "UNKNOWN").when(F.col("toxic") == 0, "empty").otherwise(F.concat("doc_id", F.lit(" — "), "source")).alias("display"))
 
 
-_W = Window.partitionBy("l_orderkey")
-
 
 @query("P9", "SELECT l_orderkey, l_partkey, l_linenumber, l_quantity BETWEEN 1 AND 45 AND l_returnflag IN ('A', 'N') AS valid FROM lineitem")
 def rule_validation(spark, d):

@@ -129,7 +129,7 @@ def legacy_repairs(spark, d):
 @query("F27 F28 F23", """
 WITH h AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS a, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS b FROM embeddings),
 c AS (SELECT vec_id, list_transform(a, lambda x: x - list_avg(a)) AS a, list_transform(b, lambda x: x - list_avg(b)) AS b FROM h)
-SELECT vec_id, round((list_inner_product(a, b) / sqrt(list_inner_product(a, a) * list_inner_product(b, b)) + 1) / 2, 6) AS correlation, round(sqrt(list_inner_product(a, a)), 6) AS spread, bit_count(xor(vec_id, 2863311530)) AS bits FROM c""")
+SELECT vec_id, round((list_inner_product(a, b) / sqrt(list_inner_product(a, a) * list_inner_product(b, b)) + 1) / 2, 6) AS correlation, round(sqrt(list_inner_product(a, a)), 6) AS spread, bit_count(xor(vec_id, 2863311530))::INTEGER AS bits FROM c""")
 def vector_correlation(spark, d):
     a, b = F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)
     ca = F.transform(a, lambda x: x.cast("double"))
