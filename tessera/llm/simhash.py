@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, need, prepare, texts_of
 
-SHINGLE, DISTANCE, BUCKET, SEED = 4, 4, 4096, 42
+SHINGLE, DISTANCE, BUCKET, SEED = 4, 4, 16_384, 42
 ALL = (1 << 64) - 1
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 

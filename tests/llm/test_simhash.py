@@ -66,9 +66,19 @@ def near_family(n, seed, spread=4):
     return [np.uint64(v).astype(np.int64).item() for v in out]
 
 
-@pytest.mark.parametrize("bucket,seed", [(4096, 1), (16, 2), (3, 3)])
-def test_links_and_components_match_brute_force(spark, bucket, seed):
-    prints = near_family(160, seed, 3 + seed)
+def shared_segment(n, seed):
+    """Fingerprints that agree on a whole segment, with near pairs among them: a large bucket."""
+    r = random.Random(seed)
+    out = set()
+    while len(out) < n:
+        x = r.getrandbits(64) & ~((1 << 22) - 1) | 12345
+        out |= {x, x ^ sum(1 << b for b in r.sample(range(22, 64), r.randint(3, 5)))}
+    return [np.uint64(v).astype(np.int64).item() for v in out]
+
+
+@pytest.mark.parametrize("bucket,seed,make", [(16_384, 1, near_family), (16_384, 2, near_family), (12, 3, shared_segment)])
+def test_links_and_components_match_brute_force(spark, bucket, seed, make):
+    prints = make(120, seed)
     scratch = Scratch(spark, "t")
     df = spark.createDataFrame([(p,) for p in prints], "fp long").repartition(3)
     found = links(df, scratch, bucket)
