@@ -29,6 +29,8 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     status = F.when(F.col("length") == 0, "empty").when(F.col("length") > IMAGE_BYTES, "too_large").otherwise("ok")
+    none = spark.createDataFrame([(p, 0, bytearray()) for p in store.empty_files(spark, path)], "path string, length long, content binary")
+    files = files.select("path", "length", "content").unionByName(none)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), status.alias("status"), "content")
 
 

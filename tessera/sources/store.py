@@ -46,3 +46,16 @@ def write_atomic(spark: SparkSession, path: str, data: bytes, overwrite: bool =
         fs.delete(where, False)
     if not fs.rename(beside, where):
         raise OSError(f"could not move {beside} to {where}")
+
+
+def empty_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Files without a byte under a path or glob: Spark's own listing leaves them out."""
+    fs, where = _file(spark, pattern)
+    out, todo = [], list(fs.globStatus(where) or [])
+    while todo:
+        status = todo.pop()
+        if status.isDirectory():
+            todo += list(fs.listStatus(status.getPath()))
+        elif status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
+            out.append(status.getPath().toString())
+    return sorted(out)
