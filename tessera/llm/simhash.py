@@ -129,7 +129,7 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> t
         j = i + shift
         apart = head[i] != head[j]
         p, q = i[apart], j[apart]
-        near = np.bitwise_count(fp[p] ^ fp[q]) <= distance
+        near = np.bitwise_count((fp[p] ^ fp[q]).view(np.uint64)) <= distance  # of signed numbers it would count the magnitude's bits
         p, q = p[near], q[near]
         if len(p):
             a.append(fp[p])
