@@ -207,7 +207,7 @@ class Adam:
             self.p[k][at] -= size * self.m[k][at] / (np.sqrt(self.v[k][at]) + 1e-8)
 
 
-def _windows(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(windows as rows of word numbers padded by -1, the text of each window)."""
     rows, owner = [], []
     for i, t in enumerate(texts):
@@ -223,9 +223,13 @@ def _windows(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
     """Fits the network; the loss of a text is that of its highest window."""
     net, rng = Network(seed), np.random.default_rng(seed + 1)
-    # Very long texts stand in training with windows drawn at random; all count when scored.
-    split = [words_of(t) for t in texts]
-    use = np.array([i for i, w in enumerate(split) if w], np.int64)
+    known: dict[bytes, int] = {}
+    split = []
+    for t in texts:
+        words = words_of(t)
+        split.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+    vocabulary = list(known)
+    use = np.array([i for i, w in enumerate(split) if len(w)], np.int64)
     adam = Adam(net.p)
     for epoch in range(epochs):
         adam.rate = 0.01 * (1 - 0.8 * epoch / max(1, epochs - 1))
@@ -235,9 +239,9 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
         rng.shuffle(starts)
         for s in starts:
             mine = by_size[s : s + BATCH]
-            names: dict[bytes, int] = {}
-            docs = [[names.setdefault(w, len(names)) for w in split[i]] for i in mine]
-            x, link = net.embed(list(names))
+            here, number = np.unique(np.concatenate([split[i] for i in mine]), return_inverse=True)
+            docs = np.split(number, np.cumsum([len(split[i]) for i in mine])[:-1])
+            x, link = net.embed([vocabulary[i] for i in here.tolist()])
             table = net.project(x)
             index, owner = _windows(docs)
             y = np.concatenate([net.logits(table, index[k : k + ROWS]) for k in range(0, len(index), ROWS)])
@@ -247,9 +251,9 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
             dy = ((_sigmoid(y) - labels[mine[owner[last]]]) / len(last)).astype(np.float32)
             grads, dg = net.gradients(dy, memo)
             at = index[last].T
-            known = at >= 0
+            there = at >= 0
             flat = np.zeros_like(table)
-            np.add.at(flat, at[known], dg[known])
+            np.add.at(flat, at[there], dg[there])
             h3 = 3 * HIDDEN
             grads |= {"Wf": x.T @ flat[:, :h3], "Wb": x.T @ flat[:, h3:], "bf": flat[:, :h3].sum(axis=0), "bb": flat[:, h3:].sum(axis=0)}
             dx = flat[:, :h3] @ net.p["Wf"].T + flat[:, h3:] @ net.p["Wb"].T
@@ -346,7 +350,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer |
     y = np.array([r["y"] for r in got], np.float32)
     if not len(y) or not 0 < y.mean() < 1:
         return pos / (pos + neg)
-    net = train([r["text"].encode("utf-8") for r in got], y)
+    texts = [r["text"].encode("utf-8") for r in got]
+    del got
+    net = train(texts, y)
     return Scorer(net, float(np.log(pos / neg) - np.log(y.mean() / (1 - y.mean()))))
 
 
