@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -50,6 +51,30 @@ def test_host_boilerplate():
     assert unique_runs([[], []]) == [[], []]
 
 
+def prose(seed, n=60):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+
+
+@pytest.mark.parametrize("copies", [3, 100])
+def test_copies_of_an_unmarked_page_stay(copies):
+    menu = "home news sport culture contact about"
+    pages = [[menu, prose(0), prose(1)]] * copies + [[menu, prose(k)] for k in range(2, 14)]
+    got = unique_runs(pages)
+    assert got == [p[1:] for p in pages]  # the menu goes, the copied text stays
+    assert unique_runs([[prose(0), prose(1)]] * copies) == [[prose(0), prose(1)]] * copies
+    near = [[prose(0), f"read by {k}", prose(1), prose(100 + k, 8)] for k in range(copies)]
+    assert unique_runs(near) == near
+    assert unique_runs([[menu], *pages[copies:]])[0] == [menu]  # no page is left without a word
+
+
+def test_copied_rows_of_an_unmarked_page_stay(spark):
+    text = prose(0)
+    pages = [(k // 2, f"http://h.example/{k // 2}", f"<div><p>{text}</p></div>") for k in range(12)]
+    got = extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(got) == 12 and all(r["text"] == text for r in got)
+
+
 def test_pages_hold_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     import html
