@@ -77,18 +77,18 @@ class FmIndex:
     """FM-index over runs of words; word numbers start at 1, 0 ends every run."""
 
     def __init__(self, symbols: np.ndarray, sample: int = SAMPLE):
-        n = len(symbols)
+        n, self.largest = len(symbols), int(symbols.max(initial=0))
         ends = symbols == 0
         # Every run's end is a symbol of its own when sorting, so that runs end comparisons.
         ranks = np.where(ends, np.cumsum(ends) - 1, symbols + int(ends.sum()))
         sa = suffix_array(ranks)
         self.bwt = symbols[sa - 1]
-        self.starts = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=int(symbols.max(initial=0)) + 2))))
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=self.largest + 2))))
         sampled = (sa % sample == 0) | (self.bwt == 0)  # run starts too: no walk crosses a run
         self.sampled, self.rank_sampled = sampled, np.cumsum(sampled) - 1
         self.positions = sa[sampled]
         self.levels, seq = [], self.bwt
-        for bit in range(max(1, int(symbols.max(initial=0)).bit_length()) - 1, -1, -1):
+        for bit in range(max(1, self.largest.bit_length()) - 1, -1, -1):
             ones = (seq >> bit) & 1
             self.levels.append((bit, np.concatenate(([0], np.cumsum(ones, dtype=np.int64))), int(n - ones.sum())))
             seq = np.concatenate((seq[ones == 0], seq[ones == 1]))
@@ -105,7 +105,8 @@ class FmIndex:
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(phrase numbers that occur, first rows, last rows + 1); phrases: one per row."""
         alive = np.arange(len(phrases))
-        alive = alive[(phrases < len(self.starts) - 1).all(axis=1)]
+        # Larger numbers do not occur, and the levels may lack a bit for them.
+        alive = alive[(phrases <= self.largest).all(axis=1)]
         low, high = np.zeros(len(alive), np.int64), np.full(len(alive), len(self.bwt), np.int64)
         for k in range(phrases.shape[1] - 1, -1, -1):
             c = phrases[alive, k]

@@ -86,6 +86,23 @@ def test_suffix_array_and_index():
                 assert sorted(index.locate(rows[0]).tolist() if rows else []) == want
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_word_number_after_the_largest_of_a_shard(spark, k):
+    top = 2**k - 1
+    index = FmIndex(np.append(np.arange(1, top + 1), 0))
+    phrases = np.array([[top, top + 1], [top + 1, top + 1], [top + 1, top], [max(1, top - 1), top]])
+    hit, low, high = index.search(phrases)
+    want = [3] if top > 1 else []
+    assert hit.tolist() == want and (high - low).tolist() == [1] * len(want) and index.locate(low).tolist() == [top - 2][: len(want)]
+    # Items number their words in order; the text holds the first 2^k - 1 of them, the last item two further ones.
+    known = [f"w{i}" for i in range(top)]
+    items = [(1, " ".join(known)), (2, f"{known[-1]} next"), (3, "next")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(known), f"x {known[-1]} y", known[-1]]
+    got = sorted(tuple(r)[:6] for r in contamination(docs_frame(spark, texts), bench).collect())
+    assert got == [(i, *brute(t, items)) for i, t in enumerate(texts)]
+
+
 def test_remove_spans():
     assert remove_spans("One, two three! Four five", [(1, 3)]) == "One, ! Four five"
     assert remove_spans("Ünd a b", [(0, 1), (2, 3)]) == " a "
