@@ -73,8 +73,12 @@ def exact_duplicates(df: DataFrame, key: str, digest: str, group: str) -> DataFr
     return df.groupBy(digest).agg(F.count("*").alias("members"), F.countDistinct(group).alias("classes"), F.min(key).alias("first_member")).where("classes > 1")
 
 
-def near_duplicates(df: DataFrame, key: str, bits: str, distance: int = 4) -> DataFrame:
-    """Pairs of 64-bit hashes that differ in at most ``distance`` bits.
+def near_duplicates(df: DataFrame, key: str, bits: str, distance: int = 4, content: str | None = None) -> DataFrame:
+    """Pairs of rows of different content whose 64-bit hashes differ in at most ``distance`` bits.
+
+    Content is the column ``content``, equal hashes of different content being pairs of
+    distance 0, or else the hash.  Rows of one hash and content are joined once, as a
+    class, and its pairs are given for each of them.
 
     The hash is cut into distance + 1 bands; a pair within the distance agrees on one
     of them (pigeonhole), so an equi-join on (band, value) finds every pair, and the
@@ -87,15 +91,21 @@ def near_duplicates(df: DataFrame, key: str, bits: str, distance: int = 4) -> Da
         width = edges[k + 1] - edges[k]
         return F.shiftrightunsigned(x, edges[k]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
-    cut = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), band(F.col(bits), k).alias("value")) for k in range(bands)]))
-    rows = df.where(F.col(bits).isNotNull()).select(F.col(key).alias("_id"), F.col(bits).alias("_x"), cut.alias("_b")).select("_id", "_x", "_b.*")
-    left = rows.select(F.col("_id").alias("left_id"), F.col("_x").alias("_l"), "band", "value")
-    right = rows.select(F.col("_id").alias("right_id"), F.col("_x").alias("_r"), "band", "value")
-    pairs = left.join(right, ["band", "value"]).where("left_id < right_id").withColumn("distance", hamming64(F.col("_l"), F.col("_r"))).where((F.col("distance") <= distance) & (F.col("_l") != F.col("_r")))
+    cut = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), band(F.col("_x"), k).alias("value")) for k in range(bands)]))
+    own = df.where(F.col(bits).isNotNull()).select(F.col(key).alias("_id"), F.col(bits).alias("_x"), F.col(content or bits).alias("_s"))
+    classes = own.groupBy("_x", "_s").agg(F.min("_id").alias("_c"))
+    rows = classes.select("_c", "_x", "_s", cut.alias("_b")).select("_c", "_x", "_s", "_b.*")
+    left = rows.select(F.col("_c").alias("_lc"), F.col("_x").alias("_l"), F.col("_s").alias("_ls"), "band", "value")
+    right = rows.select(F.col("_c").alias("_rc"), F.col("_x").alias("_r"), F.col("_s").alias("_rs"), "band", "value")
+    pairs = left.join(right, ["band", "value"]).where("_lc < _rc").withColumn("distance", hamming64(F.col("_l"), F.col("_r"))).where((F.col("distance") <= distance) & ~F.col("_ls").eqNullSafe(F.col("_rs")))
     earlier = F.lit(False)
     for k in range(bands - 1):
         earlier = earlier | ((F.col("band") > k) & (band(F.col("_l"), k) == band(F.col("_r"), k)))
-    return pairs.where(~earlier).select("left_id", "right_id", "distance")
+    named = classes.select(F.col("_x").alias("_cx"), F.col("_s").alias("_cs"), "_c")
+    members = own.join(named, (F.col("_x") == F.col("_cx")) & F.col("_s").eqNullSafe(F.col("_cs"))).select("_c", "_id")
+    found = pairs.where(~earlier).select("_lc", "_rc", "distance")
+    found = found.join(members.select(F.col("_c").alias("_lc"), F.col("_id").alias("_a")), "_lc").join(members.select(F.col("_c").alias("_rc"), F.col("_id").alias("_z")), "_rc")
+    return found.where("_a <> _z").select(F.least("_a", "_z").alias("left_id"), F.greatest("_a", "_z").alias("right_id"), "distance")
 
 
 def latest(ledger: DataFrame, keys: Sequence[str], sequence: Sequence[str]) -> DataFrame:

@@ -126,7 +126,8 @@ _SIGNS = "h AS (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE
 @query("J7 F23", f"WITH {_SIGNS} SELECT a.vec_id AS left_id, b.vec_id AS right_id, bit_count(xor(a.x, b.x))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND a.x <> b.x AND bit_count(xor(a.x, b.x)) <= 16")
 def dup_near_pairs(spark, d):
     bits = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.when(F.element_at("embedding", i + 1) >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
-    return C.near_duplicates(table(spark, d, "embeddings").select("vec_id", bits.alias("x")), "vec_id", "x", 16).withColumn("distance", F.col("distance").cast("int"))
+    sha = F.sha2(F.coalesce(F.col("embedding").cast("string"), F.lit("")), 256)
+    return C.near_duplicates(table(spark, d, "embeddings").select("vec_id", bits.alias("x"), sha.alias("sha")), "vec_id", "x", 16, "sha").withColumn("distance", F.col("distance").cast("int"))
 
 
 @query("P28 J14", """WITH o AS (SELECT c_custkey, sha256(c_name) AS sha FROM customer), f AS (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN sha256('x' || c_name) ELSE sha256(c_name) END AS now FROM customer WHERE c_custkey % 11 <> 0)

@@ -97,6 +97,19 @@ def test_near_duplicates_match_brute_force_without_a_nested_loop(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_near_duplicates_of_equal_hash_and_other_content(spark, tmp_path):
+    bits = [(1, 7, "a"), (2, 7, "b"), (3, 7, "a"), (4, 6, "c"), (5, 1 << 40, "d"), (6, 7, None), (7, None, "e")]
+    df = spark.createDataFrame(bits, "id long, x long, sha string")
+    want = sorted((i, j, (a ^ b).bit_count()) for i, a, s in bits for j, b, t in bits if i < j and None not in (a, b) and s != t and (a ^ b).bit_count() <= 4)
+    assert (1, 2, 0) in want and (1, 3, 0) not in want and rows(C.near_duplicates(df, "id", "x", content="sha")) == want
+    # The query: vectors of the same signs and other values are pairs, true copies are not.
+    from tessera.plans.catalogue import queries
+
+    v = [1.0, -1.0] * 32
+    spark.createDataFrame([(1, v), (2, [2 * x for x in v]), (3, v), (4, [-x for x in v])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert rows(queries()["dup_near_pairs"](spark, str(tmp_path))) == [(1, 2, 0), (2, 3, 0)]
+
+
 def test_ranking_limits_groups_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 10 as q", "rand(1) as s", "id")
     assert "WindowGroupLimit" in R.top_k(df, "q", "s", ["id"], 3)._jdf.queryExecution().executedPlan().toString()
