@@ -51,6 +51,16 @@ def test_same_rows_under_other_partitions(spark, sf_small, name):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_all_rows_are_references(spark, tmp_path):
+    v = [[1.0] * 64, [0.5] * 64, [0.9] * 64, [-1.0] * 64]
+    rows = [(0, 1, v[0]), (1, 1, v[1]), (100, 1, v[2]), (101, 2, v[3])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    best = {(r["query_id"], r["entity"], r["source"]): r["ref_id"] for r in RUN["match_best_per_source_all"](spark, str(tmp_path)).collect()}
+    assert best == {(0, 1, "catalog"): 100, (0, 1, "prototype"): 1, (0, 2, "prototype"): 101, (100, 1, "catalog"): 0, (100, 1, "prototype"): 1, (100, 2, "prototype"): 101}
+    own = sorted(n for n, q in SQL.items() if "% 100 <> 0" in q)
+    assert len(own) == 12 and all("% 100 <> 0" not in SQL[f"{n}_all"] and "r.vec_id <> q.vec_id" in SQL[f"{n}_all"] for n in own)
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
