@@ -6,8 +6,9 @@ packed best-fit decreasing.  Dual-feasible functions give a lower bound on the b
 packing of the partition needs; a partition whose bins meet it is certified.  What the
 bound leaves open (the gap, also its fraction) is exchanged: the least filled bins that
 hold the gap are opened, their pieces are dealt anew to fewer partitions and packed
-again, round by round, until the total meets the bound of the whole table or one
-partition holds all that is open.
+again, round by round, until the total meets the bound of the whole table, one
+partition holds all that is open, or rounds in a row bring nothing; the round of the
+least total counts.
 
 Edge cases: null text is empty and still holds its end id; repeated rows are packed
 each on its own; ties are broken by doc_id and piece; an empty table packs to nothing;
@@ -30,6 +31,8 @@ from tessera.llm.tokens import END_ID, default_vocabulary, encoder
 CAPACITY = 4096
 #: Pieces that one partition packs.
 PARTITION_PIECES = 5_000
+#: Exchange rounds in a row that bring nothing, after which the exchange ends.
+IDLE_ROUNDS = 3
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
@@ -137,13 +140,13 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, partitio
         histogram[r["length"]] = r["count"]
     need_bins = int(np.ceil(lower_bound(histogram, capacity) - 1e-9))
     left, todo = int(histogram[:capacity].sum()), pieces.where(F.col("length") < capacity)
-    closed_bins, previous = int(histogram[capacity]), None
+    closed_bins, least, idle = int(histogram[capacity]), None, 0
     kind = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
     schema = ", ".join(f"{c} {kind[c]}" for c in columns) + ", group long, bin long, offset long, open boolean"
-    parts, turn = [], 0
+    rounds, best, turn = [], 0, 0
     while left:
         groups = max(1, -(-left // partition_pieces))
-        last = groups == 1 or turn == 6
+        last = groups == 1
         # Other rounds deal otherwise: pieces of different partitions meet.
         key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(groups)).alias("group")
 
@@ -154,15 +157,18 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, partitio
         closed_bins += sum(r["bins"] for r in totals if not r["open"])
         total = closed_bins + opened[1]
         # Certified, or the exchange brings nothing more: what is open stays as packed.
-        ended = total <= need_bins or opened[0] == 0 or (previous is not None and total >= previous and groups <= 2)
-        done = packed if ended else packed.where("not open")
-        parts.append(done.select(*columns, (F.lit(turn + 1) * F.lit(1 << 52) + F.col("group") * F.lit(1 << 16) + F.col("bin")).alias("sequence_id"), "offset"))
+        idle += 1
+        if least is None or total < least:
+            least, best, idle = total, turn, 0
+        ended = total <= need_bins or opened[0] == 0 or idle >= (1 if groups <= 2 else IDLE_ROUNDS)
+        rounds.append(packed)
         if ended:
             break
-        todo, left, previous, turn = packed.where("open"), opened[0], total, turn + 1
+        todo, left, turn = packed.where("open"), opened[0], turn + 1
     whole = full.select(*columns, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    for p in parts:
-        whole = whole.unionByName(p)
+    for k, packed in enumerate(rounds[: best + 1]):
+        done = packed if k == best else packed.where("not open")
+        whole = whole.unionByName(done.select(*columns, (F.lit(k + 1) * F.lit(1 << 52) + F.col("group") * F.lit(1 << 16) + F.col("bin")).alias("sequence_id"), "offset"))
     return whole
 
 

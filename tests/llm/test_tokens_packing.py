@@ -140,3 +140,25 @@ def test_exchange_lowers_the_count(spark):
         bins[x["sequence_id"]] = bins.get(x["sequence_id"], 0) + x["length"]
     assert max(bins.values()) <= 100
     assert len(bins) <= -(-sum(x[3] for x in rows) // 100) + 1
+
+
+def test_exchange_goes_on_while_it_brings_something(spark, monkeypatch):
+    from tessera.llm import packing
+    from tessera.llm.common import Scratch
+
+    r = random.Random(1)
+    rows = [(i, 0, 0, r.randint(22, 38), i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    totals, rounds = [], []
+    scratch = Scratch(spark, "t")
+    save = scratch.save
+    monkeypatch.setattr(scratch, "save", lambda frame, name: rounds.append(save(frame, name)) or rounds[-1])
+    bins = pack(df, scratch, capacity=100, partition_pieces=20).groupBy("sequence_id").sum("length").collect()
+    assert sum(b[1] for b in bins) == sum(x[3] for x in rows) and max(b[1] for b in bins) <= 100
+    closed = 0
+    for packed in rounds:
+        n = {o: packed.where("open" if o else "not open").select("group", "bin").distinct().count() for o in (True, False)}
+        closed += n[False]
+        totals.append(closed + n[True])
+    assert len(rounds) > 7 and len(bins) == min(totals)
+
