@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,12 +13,18 @@ PACKAGE = Path(__file__).resolve().parent
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, where it is set."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
+
+    Only a local session, whose executors are this process, gets a folder of its own
+    where none is set; on a cluster a missing setting is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
+        elif not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="tessera-")
             spark.sparkContext.setCheckpointDir(root)
