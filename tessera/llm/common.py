@@ -2,43 +2,32 @@
 
 Scratch tables live under the folder named by ``spark.checkpoint.dir`` (shared by
 the driver and all executors), are written by Spark's own committer, and so survive
-the loss of executors.  Nothing here uses a machine-local folder on a cluster; only
-where that setting is absent (unit tests) a temporary folder is chosen.
+the loss of executors.  Nothing here uses a machine-local folder on a cluster; only in
+a local session without that setting (unit tests) a temporary folder is chosen.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.session import ship_package
+from tessera.session import scratch_root, ship_package
 
 #: White space of the contracts that name ``[\x20\x09-\x0D]``, as bytes.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: Rows of one number that are sent to every task at most.
+SMALL_ROWS = 2_000_000
+#: Rows from which a key counts as hot.
+HOT_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            root = held.get()
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 class Scratch:
     """Intermediate Parquet tables of one operator call."""
 
@@ -71,8 +60,47 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def fields(df: DataFrame, *columns: str) -> list[T.StructField]:
-    return [T.StructField(c, df.schema[c].dataType) for c in columns]
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores added until none is a taken column in any case of letters."""
+    low, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """The rows as a saved table with a number of their own, and that column's name.
+
+    What is decided by this number holds for one row alone, whatever its ids and texts
+    repeat; the table is written once, so the numbers are the same for every reader.
+    """
+    (row,) = free_names(docs.columns, "_row")
+    return scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def without_rows(docs: DataFrame, row: str, gone: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
+    """docs without the rows whose number is in gone (one column, of the same name).
+
+    gone must be a saved table: it is counted, and sent to all tasks only if it is within
+    the bound; else both sides are joined by row number, which no key can skew.
+    """
+    few = gone.count() <= bound
+    return docs.join(F.broadcast(gone) if few else gone, row, "left_anti").drop(row)
+
+
+def join_by_hot_key(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, hot: int = HOT_ROWS) -> DataFrame:
+    """rows joined with facts, which holds one row a key and how many rows have it.
+
+    Keys of at least ``hot`` rows are few (all rows / hot): their facts are sent to the
+    tasks, so a key with a third of all rows stays where it is.  The others are shuffled.
+    """
+    known = F.broadcast(facts.where(F.col(count) >= hot))
+    near = rows.join(known, keys)
+    far = rows.join(F.broadcast(facts.where(F.col(count) >= hot).select(*keys)), keys, "left_anti").join(facts.where(F.col(count) < hot), keys)
+    return near.unionByName(far)
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
