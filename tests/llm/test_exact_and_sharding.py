@@ -40,6 +40,66 @@ def test_exact_repeated_rows_and_null_ids(spark):
     assert exact_groups(docs_frame(spark, [])).count() == 0
 
 
+def test_dropping_exact_copies_keeps_one_row_and_any_column(spark):
+    extra = ("_sha", "_id", "row", "_row", "_ROW_", "first", "name", "Book")
+    rows = [(0, "t  u"), (1, "t u"), (1, "t u"), (1, "other"), (1, "other"), (None, "t u"), (None, None), (None, ""), (2, "x" * 5000), (1, "x" * 5000)]
+    for block, book in ((1024, 48 << 20), (3, 20)):
+        docs = docs_frame(spark, rows if block > 3 else rows[:8], extra)
+        left = drop_exact_copies(docs, block, book)
+        assert left.columns == docs.columns
+        got = left.collect()
+        assert all(r[c] == c for r in got for c in extra)
+        want = [("0", "t u"), ("1", "other"), ("None", ""), *([("1", "x" * 5000)] if block > 3 else [])]
+        assert sorted((str(r["doc_id"]), normal(r["text"])) for r in got) == sorted(want)
+    assert drop_exact_copies(docs_frame(spark, [], extra)).count() == 0
+
+
+def test_hot_keys_and_large_removals_take_the_same_way(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.common import Scratch, join_by_hot_key, numbered, without_rows
+
+    rows = spark.range(1000).select((F.col("id") % 7 * (F.col("id") % 2)).alias("k"), "id")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    want = sorted(map(tuple, rows.join(facts, "k").select("k", "id", "n", "low").collect()))
+    for hot in (1, 200, 10**9):
+        assert sorted(map(tuple, join_by_hot_key(rows, facts, ["k"], "n", hot).select("k", "id", "n", "low").collect())) == want
+    scratch = Scratch(spark, "t")
+    table, row = numbered(rows, scratch)
+    gone = scratch.save(table.where("id % 3 = 0").select(row), "gone")
+    for bound in (10, 10**6):
+        assert sorted(r["id"] for r in without_rows(table, row, gone, bound).collect()) == [i for i in range(1000) if i % 3]
+
+
+def feistel(x, n, seed):
+    """The same permutation in plain integers."""
+    m64, bits, keys, state = (1 << 64) - 1, 1, [], seed
+    while 4**bits < n:
+        bits += 1
+    for _ in range(6):
+        state = (state + 0x9E3779B97F4A7C15) & m64
+        z = ((state ^ state >> 30) * 0xBF58476D1CE4E5B9) & m64
+        z = ((z ^ z >> 27) * 0x94D049BB133111EB) & m64
+        keys.append(z ^ z >> 31)
+    while True:
+        left, right = x >> bits, x & ((1 << bits) - 1)
+        for k in keys:
+            f = ((right + k) * 0xFF51AFD7ED558CCD) & m64
+            f = ((f ^ f >> 33) * 0xC4CEB9FE1A85EC53) & m64
+            left, right = right, (left ^ f ^ f >> 29) & ((1 << bits) - 1)
+        x = left << bits | right
+        if x < n:
+            return x
+
+
+def test_permutation_matches_plain_integers():
+    import numpy as np
+
+    for n in (1, 2, 5, 17, 1000, 70_000):
+        some = range(0, n, max(1, n // 50))
+        assert permute(np.array(list(some)), n, 20).tolist() == [feistel(x, n, 20) for x in some]
+
+
 def test_permutation_is_a_bijection():
     import numpy as np
 
