@@ -21,7 +21,8 @@ folder.  Nothing about all documents is ever collected.
 Edge cases: null and wordless texts have fingerprint zero and link like any other; a
 text of fewer words than a shingle is one shingle; repeated rows share a component; the
 component is the smallest doc_id, nulls only if all are null; an empty table gives an
-empty result; extra columns are ignored.
+empty result; extra columns are ignored, and kept by ``drop_near_copies`` whatever they
+are called.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, need, prepare, texts_of
+from tessera.llm.common import Scratch, join_by_hot_key, need, numbered, prepare, texts_of, without_rows
 
 SHINGLE, DISTANCE, BUCKET, SEED = 4, 4, 16_384, 42
 ALL = (1 << 64) - 1
@@ -80,14 +81,15 @@ def fingerprint_batch(texts: list[bytes | None], shingle: int = SHINGLE) -> np.n
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (signed 64-bit) of every document."""
+    """All columns of docs but text, and fp (signed 64-bit), of every document."""
     prepare(docs.sparkSession)
+    kept = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprint_batch(texts_of(b.column("text")), shingle))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], pa.array(fingerprint_batch(texts_of(b.column("text")), shingle))], [*[f.name for f in kept], "fp"])
 
-    return need(docs, "doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", fp long")
 
 
 def segments(bits: list[int]) -> list[list[int]]:
@@ -221,7 +223,9 @@ def links(distinct: DataFrame, scratch: Scratch, bucket: int = BUCKET, distance:
         found = mine if found is None else found.unionByName(mine)
         again = out.where("kind = 1")
         if again.isEmpty():
-            return found.distinct()
+            joined = scratch.save(found.distinct(), "links")
+            scratch.drop(*[f"links{k}" for k in range(level + 1)])
+            return joined
         rows, level = again.select(F.col("a").alias("fp"), F.col("b").alias("path"), "used"), level + 1
 
 
@@ -247,22 +251,33 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before = sign
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every document."""
+def _grouped(docs: DataFrame, scratch: Scratch, shingle: int, distance: int, bucket: int) -> DataFrame:
+    """doc_id, row, fp, low (the least of its component: none, doc_id, row); docs: doc_id, text, row."""
     if distance > 5:
         raise ValueError("three segments with one wildcard find up to five differences")
-    scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save(fingerprints(docs, shingle), "prints")
-    distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    distinct = scratch.save(prints.groupBy("fp").agg(F.min(place).alias("low"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct, scratch, bucket, distance), scratch)
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    names = scratch.save(rooted.join(lows, "root").select("fp", "component_id"), "names")
-    return prints.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "n", "low", F.coalesce("root", "fp").alias("root"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("low"))
+    names = scratch.save(rooted.drop("low").join(lows, "root").select("fp", "n", "low"), "names")
+    return join_by_hot_key(prints, names, ["fp"], "n")
+
 
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every document."""
+    rows = need(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    out = _grouped(rows, Scratch(docs.sparkSession, "simhash"), shingle, distance, bucket)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low.doc_id").alias("component_id"))
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of each component, all columns kept."""
-    groups = near_groups(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """The documents with one row of each component, all columns kept: the smallest doc_id,
+    and of rows that share it the first in the table's order."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows, row = numbered(docs, scratch)
+    out = _grouped(need(rows, "doc_id", "text", row).toDF("doc_id", "text", "row"), scratch, shingle, distance, bucket)
+    gone = scratch.save(out.where(F.col("row") != F.col("low.row")).select(F.col("row").alias(row)), "gone")
+    scratch.drop("prints", "names", "distinct")
+    return without_rows(rows, row, gone)

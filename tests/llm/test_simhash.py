@@ -120,6 +120,17 @@ def test_near_groups(spark):
     assert sorted(x["doc_id"] for x in kept) == sorted(low.values())
 
 
+def test_dropping_near_copies_goes_by_rows(spark):
+    extra = ("fp", "low", "row", "_row", "N", "_id")
+    docs = docs_frame(spark, [(0, "t"), (1, "t"), (1, "other words here now"), (1, "other words here now"), (None, "other words here now"), (None, "third text of its own"), (5, None), (5, "")], extra)
+    left = drop_near_copies(docs)
+    assert left.columns == docs.columns
+    rows = left.collect()
+    assert all(r[c] == c for r in rows for c in extra)
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in rows) == [("0", "t"), ("1", "other words here now"), ("5", ""), ("None", "third text of its own")]
+    assert drop_near_copies(docs_frame(spark, [], extra)).count() == 0
+
+
 def test_empty_and_nulls(spark):
     assert near_groups(docs_frame(spark, [])).count() == 0
     got = near_groups(docs_frame(spark, [(None, "a"), (None, "a"), (3, "a"), (3, "a"), (None, "b c d e f")])).collect()
