@@ -13,20 +13,22 @@ runs in the index, and runs shorter than the shortest phrase are left out: the i
 holds what can match, which keeps it small, and loses nothing.
 
 Scale: one pass over the documents, no shuffle.  The benchmark is read in blocks of a
-checked size; beyond one block the documents pass through one such index search for
-each block, chained in the same stage, and the spans are merged.
+checked size, one of which is on the driver and the tasks at a time; beyond one block
+the documents are searched once for each block, what a pass finds is written, and spans
+are merged by row.
 
 Edge cases: null or wordless text has no words, no hits and is not contaminated; an
 item without words matches nothing; several items may share an item_id and count once;
 an item without item_id marks words but is not listed; repeated rows are judged each on
 its own; empty tables give empty results or no hits; extra columns are kept by
-``find_spans`` and cannot clash with its own, which are checked.
+``find_spans`` and ``drop_contaminated`` whatever they are called: what is added to
+them has a name that none of them has in any case of letters.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import need, prepare, texts_of
+from tessera.llm.common import Scratch, free_names, need, numbered, prepare, texts_of
 
 WINDOW = 13
-BENCHMARK_BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that one pass searches for.
+BENCHMARK_BLOCK_BYTES = 2 << 20
 SAMPLE = 8
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
@@ -234,57 +237,90 @@ def _phrases(key: str, items: list[tuple]) -> Phrases:
     return _PHRASES[key]
 
 
-_OWN = ("n_words", "spans", "items")
+#: What find_spans adds to the columns of docs.
+OWN = ("n_words", "spans", "items")
+_SPAN = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_OWN_TYPES = (T.LongType(), _SPAN, T.ArrayType(T.StringType()))
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BENCHMARK_BLOCK_BYTES) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple], names: list[str]) -> DataFrame:
+    """All columns of docs and, under the names, what OWN names: one pass, one block of items."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)  # a block: bounded
+    key, columns = uuid.uuid4().hex, docs.columns
+
+    def run(batches):
+        phrases = _phrases(key, shared.value)
+        for b in batches:
+            counts, spans, found = search_shard(texts_of(b.column("text")), phrases)
+            listed = [sorted({phrases.items[i] for i in f if phrases.items[i] is not None}) for f in found]
+            kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+            own = [pa.array(counts, pa.int64()), pa.array([[{"first": x, "end": y} for x, y in s] for s in spans], kind), pa.array(listed, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *own], [*columns, *names])
+
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in zip(names, _OWN_TYPES, strict=True)]])
+    return docs.mapInArrow(run, schema)
+
+
+def find_spans(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BENCHMARK_BLOCK_BYTES) -> tuple[DataFrame, list[str]]:
     """All columns of docs, and n_words, spans (half-open, in words, merged), items
-    (distinct item_ids, as strings, sorted)."""
+    (distinct item_ids, as strings, sorted) under names that no column of docs has."""
     prepare(docs.sparkSession)
-    if clash := [c for c in docs.columns if c in _OWN]:
-        raise ValueError(f"columns of docs clash: {', '.join(clash)}")
-    tests = need(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    names = free_names(docs.columns, *OWN)
+    tests = need(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     total = tests.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    span = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema.fields], T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
-    out = docs
-    for k in range(blocks):
-        mine = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        items = sorted(((r["item_id"], (r["text"] or "").encode("utf-8")) for r in mine.collect()), key=lambda x: (x[0] is None, x))
-        key = hashlib.sha256(repr(items).encode()).hexdigest()
-        out = out.mapInArrow(_searcher(key, items, docs.columns, again=k > 0), schema)
-    return out
 
+    def block(k: int) -> list[tuple]:
+        """One block of items; equal items are one row before they come here."""
+        mine = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        return sorted(((r["item_id"], r["text"].encode("utf-8")) for r in mine.distinct().collect()), key=lambda x: (x[0] is None, x))
+
+    if blocks == 1:
+        return _search(docs, block(0), names), names
+    # A pass for each block leaves the rows with hits alone; they meet by row number.
+    scratch = Scratch(docs.sparkSession, "spans")
+    rows, row = numbered(docs, scratch)
+    texts = need(rows, row, "text").toDF("row", "text")
+    for k in range(blocks):
+        found = _search(texts, block(k), list(OWN)).where("size(spans) > 0").select("row", "spans", "items")
+        scratch.save(found, "hits", "append")
+    hits = docs.sparkSession.read.schema(found.schema).parquet(scratch.path("hits"))
+    hits = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
-def _searcher(key: str, items: list[tuple], columns: list[str], again: bool):
-    def run(batches):
-        phrases = _phrases(key, items)
+    def merge(batches):
         for b in batches:
-            counts, spans, found = search_shard(texts_of(b.column("text")), phrases)
-            names = [[phrases.items[i] for i in f if phrases.items[i] is not None] for f in found]
-            if again:
-                spans = [merge_spans([(x["first"], x["end"]) for x in old] + new) for old, new in zip(b.column("spans").to_pylist(), spans, strict=True)]
-                names = [old + new for old, new in zip(b.column("items").to_pylist(), names, strict=True)]
+            spans = [[{"first": x, "end": y} for x, y in merge_spans([(s["first"], s["end"]) for s in part])] for part in b.column("spans").to_pylist()]
+            listed = [sorted(set(x)) for x in b.column("items").to_pylist()]
             kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-            own = [pa.array(counts, pa.int64()), pa.array([[{"first": x, "end": y} for x, y in s] for s in spans], kind), pa.array([sorted(set(x)) for x in names], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], *own], [*columns, *_OWN])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(spans, kind), pa.array(listed, pa.list_(pa.string()))], [row, *names[1:]])
+
+    merged = hits.mapInArrow(merge, T.StructType([T.StructField(row, T.LongType()), *[T.StructField(n, t) for n, t in zip(names[1:], _OWN_TYPES[1:], strict=True)]]))
+    counted = _search(rows, [], [names[0], *free_names([*rows.columns, *names], "spans", "items")]).select(*[F.col(f"`{c}`") for c in [*rows.columns, names[0]]])
+    out = counted.join(merged, row, "left")
+    empty = [F.coalesce(F.col(f"`{n}`"), F.array().cast(t)).alias(n) for n, t in zip(names[1:], _OWN_TYPES[1:], strict=True)]
+    return out.select(*[F.col(f"`{c}`") for c in [*docs.columns, names[0]]], *empty), names
+
 
-    return run
+def hit_words(spans: str):
+    """How many words a column of merged spans covers."""
+    return F.aggregate(f"`{spans}`", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["first"]))
 
 
-def judged(found: DataFrame) -> DataFrame:
-    """Adds n_hit and contaminated (n_hit > 0 and 20 * n_hit >= n_words) to find_spans' rows."""
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["first"]))
-    return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+def is_contaminated(n_words: str, spans: str):
+    """n_hit > 0 and 20 * n_hit >= n_words."""
+    return (hit_words(spans) > 0) & (20 * hit_words(spans) >= F.col(f"`{n_words}`"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BENCHMARK_BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans of every document."""
-    out = judged(find_spans(need(docs, "doc_id", "text"), benchmark))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated", "spans")
+    out, _ = find_spans(need(docs, "doc_id", "text"), benchmark, block_bytes)
+    return out.select(
+        "doc_id", "n_words", hit_words("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), is_contaminated("n_words", "spans").alias("contaminated"), "spans",
+    )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BENCHMARK_BLOCK_BYTES) -> DataFrame:
     """The documents that are not contaminated, all columns kept."""
-    return judged(find_spans(docs, benchmark)).where("not contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out, (n_words, spans, _) = find_spans(docs, benchmark, block_bytes)
+    return out.where(~is_contaminated(n_words, spans)).select(*[F.col(f"`{c}`") for c in docs.columns])

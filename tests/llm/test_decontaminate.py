@@ -49,7 +49,7 @@ def test_matches_brute_force(spark, block):
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = docs_frame(spark, texts, ("key", "n", "at"))
     if block < 1000:
-        found = {r["doc_id"]: r for r in find_spans(docs, bench, block_bytes=block).collect()}
+        found = {r["doc_id"]: r for r in find_spans(docs, bench, block_bytes=block)[0].collect()}
         got = [(i, found[i]["n_words"], sum(s["end"] - s["first"] for s in found[i]["spans"]), len(found[i]["items"])) for i in sorted(found)]
         assert got == [(i, *brute(t, items)[:3]) for i, t in enumerate(texts)]
     else:
@@ -64,8 +64,33 @@ def test_empty_tables(spark):
     assert contamination(docs_frame(spark, []), none).count() == 0
     rows = contamination(docs_frame(spark, ["a b", None]), none).collect()
     assert [(r["n_hit"], r["contaminated"]) for r in rows] == [(0, False)] * 2
-    with pytest.raises(ValueError):
-        find_spans(docs_frame(spark, ["a"], ("spans",)), none)
+    out, names = find_spans(docs_frame(spark, ["a"], ("spans", "Items")), none)
+    assert names == ["n_words", "spans_", "items_"] and out.first()["spans"] == "spans"
+
+
+@pytest.mark.parametrize("block", [2 << 20, 300])
+def test_dropping_keeps_columns_of_any_name(spark, block):
+    texts, items = fixture()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    extra = ("n_hit", "contaminated", "N_Words", "spans", "items", "_row", "row")
+    docs = docs_frame(spark, [*texts, (3, "alpha beta"), (3, "alpha beta"), (None, "clean words")], extra)
+    kept = drop_contaminated(docs, bench, block)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert all(r[c] == c for r in rows for c in extra)
+    ids = [*range(len(texts)), 3, 3, None]
+    want = [(str(i), t) for i, t in zip(ids, [*texts, "alpha beta", "alpha beta", "clean words"], strict=True) if not brute(t, items)[-1]]
+    assert sorted(((str(r["doc_id"]), r["text"]) for r in rows), key=repr) == sorted(want, key=repr)
+
+
+def test_benchmark_of_several_blocks_is_merged_by_row(spark):
+    texts, items = fixture()
+    bench = spark.createDataFrame([*items, *items], "item_id long, text string")  # repeated items count once
+    docs = docs_frame(spark, [(1, t) for t in texts])  # one doc_id for all rows
+    want = sorted(brute(t, items) for t in texts)
+    for block in (2 << 20, 2000, 300):
+        got = contamination(docs, bench, block).collect()
+        assert sorted(tuple(r)[1:6] for r in got) == want
 
 
 def test_suffix_array_and_index():
