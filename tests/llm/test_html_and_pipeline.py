@@ -1,13 +1,14 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from tessera.llm.html_extract import extract_text, read_page, unique_runs
+from tessera.llm.html_extract import HostRuns, extract_text, frequent, read_page, signature, unique_runs
 
 
 def text_of(page):
-    blocks, other, found = read_page(page)
+    blocks, _, _, found = read_page(page)
     return "\n".join(blocks) if found else None
 
 
@@ -68,6 +69,54 @@ def test_copies_of_an_unmarked_page_stay(copies):
     assert unique_runs([[menu], *pages[copies:]])[0] == [menu]  # no page is left without a word
 
 
+def brute_runs(pages, n=6):
+    """The pages that hold each run of n words."""
+    found = {}
+    for p, blocks in enumerate(pages):
+        words = " ".join(blocks).split()
+        for s in range(len(words) - n + 1):
+            found.setdefault(tuple(words[s : s + n]), set()).add(p)
+    return found
+
+
+def test_repeated_runs_match_brute_force():
+    r = random.Random(7)
+    menu = [prose(k, 9) for k in range(4)]
+    pages = [[r.choice(menu), prose(100 + k, r.randint(60, 90)), *r.sample(menu, 2), "end"] for k in range(40)]
+    host = HostRuns(pages)
+    want = brute_runs(pages)
+    assert len(host.hash) == len(want) == len(set(host.hash.tolist()))
+    assert sorted(map(len, want.values())) == sorted(len(set(host.pair_page[host.pair_run == k].tolist())) for k in range(len(host.hash)))
+    run, alike, classes = host.evidence(np.stack([signature(p) for p in pages]))
+    assert len(classes) == 40  # no near copies here
+    common = {w for w, p in want.items() if len(p) >= 4}
+    assert len(frequent(run, len(classes))) == len(common)
+    covered = set()
+    for p, blocks in enumerate(pages):
+        words = " ".join(blocks).split()
+        for s in range(len(words) - 5):
+            if tuple(words[s : s + 6]) in common:
+                covered |= {(p, s + k) for k in range(6)}
+    for p, (blocks, kept) in enumerate(zip(pages, host.kept(frequent(run, len(classes))), strict=True)):
+        words = " ".join(blocks).split()
+        assert " ".join(kept).split() == [w for k, w in enumerate(words) if (p, k) not in covered]
+
+
+def test_large_hosts_are_judged_like_small_ones(spark):
+    menu, foot = "home news sport culture contact about", "all rights are kept by the makers"
+    pages = [(k, f"http://big.example/{k}", f"<ul><li>{menu}</ul><div><p>{prose(k)}</p></div><p>{foot}</p>") for k in range(60)]
+    pages += [(100 + k, "http://big.example/copy", f"<ul><li>{menu}</ul><div><p>{prose(999)}</p></div>") for k in range(30)]
+    pages += [(200 + k, "http://marked.example/a", f"<nav>{menu}</nav><article><p>{menu}</p></article><div>{menu} x{k} y</div>") for k in range(5)]
+    pages += [(300 + k, "http://mixed.example/a", f"<nav>{menu}</nav><article><p>{prose(k)}</p></article>") for k in range(9)] + [(400, "http://mixed.example/b", f"<div>{menu}</div><p>{prose(77)}</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    whole = {r["page_id"]: r["text"] for r in extract_text(df).collect()}
+    parts = {r["page_id"]: r["text"] for r in extract_text(df, group_words=700).collect()}
+    assert whole == parts and len(whole) == len(pages)
+    assert all(whole[k] == prose(k) for k in range(60)) and all(whole[100 + k] == prose(999) for k in range(30))
+    assert all(whole[200 + k] == menu for k in range(5))  # a marked article stays, repeated or not
+    assert whole[400] == prose(77)  # the menu of the host's marked pages is known
+
+
 def test_copied_rows_of_an_unmarked_page_stay(spark):
     text = prose(0)
     pages = [(k // 2, f"http://h.example/{k // 2}", f"<div><p>{text}</p></div>") for k in range(12)]
