@@ -6,9 +6,10 @@ backward recurrent layer read a window of words, attention pools the states, a l
 unit scores the window.  A text is cut into overlapping windows, all of them are
 scored, and the text's score is that of its highest window.
 
-Training is plain numpy with Adam on a bounded sample of labelled texts
-(``sample`` of each class, expected number, chosen by a hash of doc_id; documented
-bound): a text's loss is taken at its highest window.  The classes are balanced in the
+Training is plain numpy with Adam on a bounded sample of labelled texts: of each class
+the ``sample`` texts of the least hash, as far as ``sample_bytes`` go (documented
+bounds, which hold for any table; a repeated text counts once): a text's loss is taken
+at its highest window.  The classes are balanced in the
 sample, and the output is moved back to the share of toxic texts among all labels.
 
 Scoring is one pass over whole texts without a shuffle.  A worker keeps a bounded
@@ -16,9 +17,10 @@ table of the words it met with their input projections, so a word costs its vect
 once, and windows run through the recurrence many at a time.
 
 Edge cases: null and wordless texts score 0; a null doc_id is not held out, never
-learned from, and scored; several labels of a document all count; without labels of
+learned from, and scored; a document with labels of both kinds counts as each; without labels of
 both classes every text scores the share of toxic labels (0 without any); repeated rows
-score alike; very long texts are scored in blocks of windows; extra columns are ignored.
+score alike; very long texts are scored in blocks of their windows; extra columns are
+ignored, and kept by ``drop_toxic`` whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,18 +29,23 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import need, prepare, texts_of
+from tessera.llm.common import Scratch, free_names, need, prepare, texts_of
 from tessera.llm.langid import held_out_flag
 
 HIDDEN, EMBED, WINDOW, STRIDE = 12, 16, 64, 48
 WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 14, 1 << 15, (3, 4, 5)
 SAMPLE, EPOCHS, SEED, BATCH = 3000, 4, 5, 48
+#: Bytes of text of each class to learn from.
+SAMPLE_BYTES = 32 << 20
 CACHE_WORDS = 200_000
 #: Windows that run through the recurrence at a time.
 ROWS = 1024
+#: Windows of one text whose words are looked up at a time.
+BLOCK_WINDOWS = 1365
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
 _FOLD = re.compile(rb"\xc3[\x80-\x9e]")
 
@@ -321,32 +328,46 @@ class Scorer:
             words = words_of(text)
             if not words:
                 continue
-            for a in range(0, len(words), 1 << 16):  # very long texts: words in blocks that overlap
-                block = words[max(0, a - WINDOW) : a + (1 << 16)]
+            starts = window_starts(len(words))
+            for a in range(0, len(starts), BLOCK_WINDOWS):  # very long texts: a block of windows at a time
+                mine = starts[a : a + BLOCK_WINDOWS]
+                block = words[mine[0] : mine[-1] + WINDOW]
                 if len(self.rows) > self.limit:
                     flush()
                     self._clear()
                 self._add(set(block))
                 numbers = self._numbers(block)
-                held.extend((i, numbers[s : s + WINDOW]) for s in window_starts(len(block)))
+                held.extend((i, numbers[s - mine[0] : s - mine[0] + WINDOW]) for s in mine)
                 if len(held) >= 8 * ROWS:
                     flush()
         flush()
         return np.where(np.isfinite(best), _sigmoid(np.where(np.isfinite(best), best, 0) + self.shift), 0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer | float:
+def _sample(docs: DataFrame, marks: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
+    """doc_id, hash, y of the texts to learn from: at most 2 x sample rows of 2 x sample_bytes."""
+    # Ids, hashes and sizes alone are shuffled, each text of an id once.
+    known = need(docs, "doc_id", "text").where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("hash"), F.octet_length("text").cast("long").alias("size")).distinct()
+    known = known.join(marks.select("doc_id", "y").distinct(), "doc_id").withColumn("turn", F.xxhash64("doc_id", "hash", F.lit(SEED)))
+    # Tasks keep their own first rows of a class; the sum runs over the few that are left.
+    order = Window.partitionBy("y").orderBy("turn", "doc_id", "hash")
+    first = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    return first.withColumn("so_far", F.sum("size").over(order)).where(F.col("so_far") <= sample_bytes).select("doc_id", "hash", "y")
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Scorer | float:
     """A scorer, or the share of toxic labels where there is nothing to learn from."""
-    marks = need(labels, "doc_id", "toxic").where("toxic is not null and doc_id is not null").where(~held_out_flag(5, 0)).select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("y"))
+    marks = need(labels, "doc_id", "toxic").where("toxic is not null and doc_id is not null").where(~held_out_flag(5, 0)).select("doc_id", (F.col("toxic") > 0).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     if not pos or not neg:
         return 1.0 if pos else 0.0
-    share = F.when(F.col("y") == 1, F.lit(min(1.0, sample / pos))).otherwise(F.lit(min(1.0, sample / neg)))
-    chosen = marks.where(F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1 << 20)) < share * (1 << 20))
-    rows = need(docs, "doc_id", "text").where("text is not null")
-    got = rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["_id"]).select("doc_id", "text", "y").collect()  # about 2 x sample rows
-    got.sort(key=lambda r: (r["doc_id"], r["text"]))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    chosen = scratch.save(_sample(docs, marks, sample, sample_bytes), "sample")
+    rows = need(docs, "doc_id", "text").where("doc_id is not null and text is not null").withColumn("hash", F.xxhash64("text"))
+    got = rows.join(F.broadcast(chosen), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "y"]).select("doc_id", "text", "y").collect()
+    scratch.drop("sample")
+    got.sort(key=lambda r: (r["doc_id"], r["text"], r["y"]))
     y = np.array([r["y"] for r in got], np.float32)
     if not len(y) or not 0 < y.mean() < 1:
         return pos / (pos + neg)
@@ -356,12 +377,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer |
     return Scorer(net, float(np.log(pos / neg) - np.log(y.mean() / (1 - y.mean()))))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn_from: DataFrame | None = None) -> DataFrame:
-    """All columns of docs and toxicity (0 to 1)."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn_from: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """All columns of docs and the score (0 to 1), and the score's name: toxicity, or
+    what no column of docs is called."""
     spark = docs.sparkSession
     prepare(spark)
-    if "toxicity" in docs.columns:
-        raise ValueError("a column of docs clashes: toxicity")
+    (name,) = free_names(docs.columns, "toxicity")
     model = learn(learn_from or docs, labels, sample)
     shared = spark.sparkContext.broadcast((model.net.p, model.shift) if isinstance(model, Scorer) else model)  # fixed size
 
@@ -375,18 +396,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lea
         for b in batches:
             texts = texts_of(b.column("text"))
             score = scorer.scores(texts) if scorer else np.full(len(texts), float(held))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*b.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*b.schema.names, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, schema + ", toxicity double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])), name
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted; learns from rows whose remainder of 5 is not 0."""
-    out = score_toxicity(need(docs, "doc_id", "text"), labels, sample)
+    out, _ = score_toxicity(need(docs, "doc_id", "text"), labels, sample)
     return out.select("doc_id", F.coalesce(held_out_flag(5, 0), F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score under the threshold, all columns kept."""
-    return score_toxicity(docs, labels).where(F.col("toxicity") < threshold).drop("toxicity")
+    out, name = score_toxicity(docs, labels)
+    return out.where(F.col(f"`{name}`") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
