@@ -148,7 +148,7 @@ def fit(rows: DataFrame, scratch: Scratch) -> Model:
         return pa.table({"i": part.column("i")[:1], "a": pa.array([total.tolist()], pa.list_(pa.float64())), "n": [int(np.sum(part.column("n").to_numpy()))]}).cast(pa.schema([("i", pa.int32()), ("a", pa.list_(pa.float64())), ("n", pa.int64())]))
 
     kinds = "i int, a array<double>, n long"
-    parts = rows.where("not spare").select("x", "y").repartition(12).mapInArrow(normal, kinds)
+    parts = rows.where("not spare").select("x", "y").mapInArrow(normal, kinds)
     solved = sorted(parts.groupBy("i").applyInArrow(lambda part: add(part), kinds).collect(), key=lambda r: r["i"])
     if not solved:
         return Model(None, None, np.zeros(0), np.zeros(0), base)
