@@ -126,7 +126,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = D
     if not counts:
         return {}
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))) for lang, n in sorted(counts.items())])
-    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20)
+    # 53 bits of the hash: the expected number holds for any table a double can count.
+    chosen = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) < share * float(1 << 53)
 
     def run(batches):
         memory, sums = ItemMemory(dimensions, seed), {}

@@ -78,6 +78,31 @@ def test_quality_edge_cases(spark):
     assert quality.score_quality(docs_frame(spark, []), labels).count() == 0
 
 
+def test_quality_matches_a_direct_fit(spark):
+    """All learning rows in one matrix: the same weights, calibration and scores as the partition sums give."""
+    import zlib
+
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs.repartition(7), labels).collect()}
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    marks = [(r["doc_id"], r["quality"]) for r in labels.where("quality is not null").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    spare = {r["doc_id"] for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 11), 5) = 0 as s").where("s").collect()}
+    x = np.array([quality.statistics(texts[i]) for i, _ in marks], np.float32).astype(np.float64)
+    y = np.array([q for _, q in marks], np.float64)
+    f = quality.Fourier(x.mean(0), x.std(0))
+    fit = np.array([i not in spare for i, _ in marks])
+    z = f(x[fit])
+    w = np.linalg.solve(z.T @ z + quality.RIDGE * fit.sum() / z.shape[1] / 10 * np.eye(z.shape[1]), z.T @ y[fit])
+    bins = np.clip(((np.clip(f(x[~fit]) @ w, -1, 2) + 1) / 3 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    at = np.unique(bins)
+    n = np.array([(bins == b).sum() for b in at], float)
+    value = quality.pool_adjacent(n, np.array([y[~fit][bins == b].mean() for b in at]))
+    ids = sorted(texts)
+    raw = np.clip(f(np.array([quality.statistics(texts[i]) for i in ids], np.float32).astype(np.float64)) @ w, -1, 2)
+    want = np.clip(0.999 * np.interp(raw, (at + 0.5) / quality.BINS * 3 - 1, value) + 0.001 * (raw + 1) / 3, 0, 1)
+    assert np.mean(np.abs(np.array([got[i] for i in ids]) - want) < 1e-4) > 0.99
+
+
 def test_isotonic():
     v = quality.pool_adjacent(np.array([1.0, 1, 2, 1]), np.array([0.0, 0.8, 0.2, 0.9]))
     assert np.allclose(v, [0, 0.4, 0.4, 0.9])
@@ -119,6 +144,62 @@ def test_network_gradients():
             assert abs((up - down) / 2e-3 - grad[i]) < 2e-3, name
 
 
+def naive_score(net, words):
+    """A window's logit, word by word and step by step."""
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    h, p = toxicity.HIDDEN, {k: v.astype(np.float64) for k, v in net.p.items()}
+    x = []
+    for w in words:
+        row, grams, _ = toxicity.word_inputs([w])
+        x.append(p["word"][row[0]] + (p["gram"][grams].sum(0) / np.sqrt(len(grams)) if len(grams) else 0))
+    runs = []
+    for d, line in (("f", x), ("b", x[::-1])):
+        state, states = np.zeros(h), []
+        for v in line:
+            g = v @ p[f"W{d}"] + p[f"b{d}"]
+            z, r = sigmoid(g[:h] + state @ p[f"U{d}"][:, :h]), sigmoid(g[h : 2 * h] + state @ p[f"U{d}"][:, h : 2 * h])
+            c = np.tanh(g[2 * h :] + (r * state) @ p[f"U{d}"][:, 2 * h :])
+            state = (1 - z) * state + z * c
+            states.append(state)
+        runs.append(states if d == "f" else states[::-1])
+    both = [np.concatenate(s) for s in zip(*runs, strict=True)]
+    a = np.exp([s @ p["att"] for s in both])
+    return float(sum(k * s for k, s in zip(a / a.sum(), both, strict=True)) @ p["out"] + p["bias"][0])
+
+
+def test_scores_match_a_naive_forward_pass():
+    net = toxicity.Network(2)
+    r = np.random.default_rng(3)
+    known = [b"w%d" % k for k in range(40)] + ["é".encode(), b"longerword"]
+    for n in (1, 5, 64, 65, 200):
+        words = [known[k] for k in r.integers(0, len(known), n)]
+        want = max(naive_score(net, words[s : s + toxicity.WINDOW]) for s in toxicity.window_starts(n))
+        assert abs(toxicity.Scorer(net, 0.0).scores([b" ".join(words)])[0] - 1 / (1 + np.exp(-want))) < 1e-4
+
+
+@pytest.mark.parametrize("n", [65_600, 131_073, 200_000])
+def test_long_texts_are_scored_at_the_named_windows(monkeypatch, n):
+    net, seen = toxicity.Network(2), []
+    scorer = toxicity.Scorer(net, 0.0)
+    monkeypatch.setattr(net, "logits", lambda table, index, keep=False: seen.extend(map(tuple, index.tolist())) or np.zeros(len(index)))
+    words = [b"x%d" % (k % 5000) for k in range(n)]
+    scorer.scores([b" ".join(words)])
+    rows = [scorer.rows[w] for w in words]
+    assert sorted(seen) == sorted(tuple(rows[s : s + toxicity.WINDOW]) for s in toxicity.window_starts(n))
+
+
+def test_learning_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k % 50, f"text {k % 400} " + "w " * 20) for k in range(2000)] + [(3, "same")] * 500, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(50)] * 3, "doc_id long, y int")
+    got = toxicity._sample(docs, marks, 30, 10**9).groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in got} == {0: 30, 1: 30}
+    assert toxicity._sample(docs, marks, 30, 200).count() <= 8
+    one = toxicity._sample(docs, marks, 10**6, 10**9)
+    assert one.count() == one.distinct().count() == docs.distinct().count()
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 63, 64, 65, 112, 113, 500, 1000):
         starts = toxicity.window_starts(n)
@@ -153,3 +234,6 @@ def test_toxicity_edge_cases(spark, which):
     if which != "both":
         assert {r["score"] for r in got} == {0.0 if which == "none" else 1.0}
     assert toxicity.toxicity(docs_frame(spark, []), labels).count() == 0
+    clash = docs_frame(spark, ["a b", "c"], ("toxicity", "Toxicity_", "score"))
+    kept = toxicity.drop_toxic(clash, labels.where("toxic = 0 or doc_id > 5"), threshold=2.0)
+    assert kept.columns == clash.columns and {tuple(r)[-3:] for r in kept.collect()} == {("toxicity", "Toxicity_", "score")}
