@@ -1,7 +1,8 @@
 """Best-fit packing with certified bin counts.
 
 Documents are encoded, ended by an end id, and cut only where longer than a sequence.
-Pieces are dealt by hash to partitions of a bounded number of pieces; each partition is
+Pieces are numbered and dealt by a hash of their number to partitions of a bounded
+number of pieces, so rows that repeat are dealt like any others; each partition is
 packed best-fit decreasing.  Dual-feasible functions give a lower bound on the bins any
 packing of the partition needs; a partition whose bins meet it is certified.  What the
 bound leaves open (the gap, also its fraction) is exchanged: the least filled bins that
@@ -11,7 +12,7 @@ partition holds all that is open, or rounds in a row bring nothing; the round of
 least total counts.
 
 Edge cases: null text is empty and still holds its end id; repeated rows are packed
-each on its own; ties are broken by doc_id and piece; an empty table packs to nothing;
+each on its own; ties are broken by doc_id, piece and number; an empty table packs to nothing;
 extra columns are ignored.
 """
 
@@ -108,7 +109,7 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 def pack_partition(part: pa.Table, capacity: int, last: bool = False) -> pa.Table:
     """Adds bin, offset and open (to be exchanged) to the pieces of a partition."""
-    part = part.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+    part = part.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("_piece_no", "ascending")])
     sizes = part.column("length").to_numpy()
     bins = np.array(best_fit_decreasing(sizes.tolist(), capacity), dtype=np.int64)
     by_bin = np.argsort(bins, kind="stable")
@@ -132,8 +133,13 @@ def _one_argument(run):
 
 
 def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32).
+
+    A sequence's number holds its round, its partition and its bin in bits of their own
+    (7, 28 and 28); whole sequences of one piece have the piece's number, round 0.
+    """
     columns = pieces.columns
+    pieces = scratch.save(pieces.withColumn("_piece_no", F.monotonically_increasing_id()), "numbered_pieces")
     full = pieces.where(F.col("length") == capacity)
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most `capacity` rows
@@ -142,20 +148,22 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, partitio
     left, todo = int(histogram[:capacity].sum()), pieces.where(F.col("length") < capacity)
     closed_bins, least, idle = int(histogram[capacity]), None, 0
     kind = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
-    schema = ", ".join(f"{c} {kind[c]}" for c in columns) + ", group long, bin long, offset long, open boolean"
+    schema = ", ".join(f"{c} {kind[c]}" for c in kind) + ", group long, bin long, offset long, open boolean"
     rounds, best, turn = [], 0, 0
     while left:
         groups = max(1, -(-left // partition_pieces))
         last = groups == 1
         # Other rounds deal otherwise: pieces of different partitions meet.
-        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(groups)).alias("group")
+        key = F.pmod(F.xxhash64("_piece_no", F.lit(turn)), F.lit(groups)).alias("group")
 
         run = partial(pack_partition, capacity=capacity, last=last)
-        packed = scratch.save(todo.select(*columns, key).groupBy("group").applyInArrow(_one_argument(run), schema), f"round{turn}")
+        packed = scratch.save(todo.select(*kind, key).groupBy("group").applyInArrow(_one_argument(run), schema), f"round{turn}")
         totals = packed.groupBy("open").agg(F.count("*").alias("n"), F.countDistinct("group", "bin").alias("bins")).collect()
         opened = next(((r["n"], r["bins"]) for r in totals if r["open"]), (0, 0))
         closed_bins += sum(r["bins"] for r in totals if not r["open"])
         total = closed_bins + opened[1]
+        if turn > 120 or groups >> 28:
+            raise ValueError("more rounds or partitions than sequence numbers hold")
         # Certified, or the exchange brings nothing more: what is open stays as packed.
         idle += 1
         if least is None or total < least:
@@ -165,10 +173,10 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, partitio
         if ended:
             break
         todo, left, turn = packed.where("open"), opened[0], turn + 1
-    whole = full.select(*columns, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = full.select(*columns, F.col("_piece_no").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     for k, packed in enumerate(rounds[: best + 1]):
         done = packed if k == best else packed.where("not open")
-        whole = whole.unionByName(done.select(*columns, (F.lit(k + 1) * F.lit(1 << 52) + F.col("group") * F.lit(1 << 16) + F.col("bin")).alias("sequence_id"), "offset"))
+        whole = whole.unionByName(done.select(*columns, (F.lit((k + 1) << 56) + F.col("group") * F.lit(1 << 28) + F.col("bin")).alias("sequence_id"), "offset"))
     return whole
 
 
@@ -177,5 +185,4 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "packing")
-    pieces = scratch.save(pieces_of(docs, vocabulary or default_vocabulary(), capacity), "pieces")
-    return pack(pieces, scratch, capacity, partition_pieces)
+    return pack(pieces_of(docs, vocabulary or default_vocabulary(), capacity), scratch, capacity, partition_pieces)

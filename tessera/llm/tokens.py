@@ -4,8 +4,9 @@ The tokenizer file normalises (NFC, white space, lower case) and splits at white
 before any merge, so the ids of a text are the ids of its white-space chunks in order.
 Each distinct chunk is encoded by the library once and kept in a bounded cache.  Only
 ASCII white space separates chunks here; other white space stays inside a chunk for
-the library to treat.  Where a tokenizer file does not have this shape, whole texts
-are given to the library instead.
+the library to treat.  Where a tokenizer file does not have this shape, and for texts
+that hold the string of one of its special tokens, whole texts are given to the library
+instead, so ids are those of the plain call.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content.encode("utf-8") for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunked, self.limit, self.cache = splits_at_blanks(path), cache_words, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -86,9 +87,13 @@ class Encoder:
             return self._encode([t.decode("utf-8") for t in texts])
         found, missing = [], {}
         for text in texts:
+            low = text.lower()
+            if any(s in text or s in low for s in self.special):  # the library finds them before it lowers and splits
+                found.append((self._encode([text.decode("utf-8")]), []))
+                continue
             # ASCII letters may be lowered first where no combining mark can follow.
             plain = text.isascii() or np.frombuffer(text, np.uint8).max() < 0xCC
-            words = (text.lower() if plain else text).split()
+            words = (low if plain else text).split()
             ids = list(map(self.cache.get, words))
             gaps = [(k, words[k]) for k, v in enumerate(ids) if v is None] if None in ids else []
             missing.update((w, None) for _, w in gaps)

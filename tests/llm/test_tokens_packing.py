@@ -17,7 +17,6 @@ def whole():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_vocabulary())
-    t.encode_special_tokens = True
     return {i: [*t.encode(x or "", add_special_tokens=False).ids, END_ID] for i, x in enumerate(TEXTS)}
 
 
@@ -73,6 +72,24 @@ def test_empty_and_repeated_rows(spark):
     assert pack_documents(docs_frame(spark, [(1, "a"), (1, "a"), (None, None)])).count() == 3
 
 
+def test_special_strings_are_what_the_plain_call_makes_of_them():
+    enc = Encoder(default_vocabulary())
+    got = enc.ids([b"a <|endoftext|> b", b"<|ENDOFTEXT|>", b"a b"])
+    assert 49407 in np.frombuffer(got[0], "<u4") and 49407 not in np.frombuffer(got[1], "<u4")
+
+
+def test_equal_rows_do_not_meet_in_one_partition(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.common import Scratch
+
+    # 100,000 equal rows of 3,000 ids and 40,000 others, more than the bits of one partition's bins once held.
+    one = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(3000).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
+    other = spark.range(40_000).select((F.col("id") + 8).alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.col("id") % 1500 + 500).alias("length"), F.col("id").alias("ids_crc32"))
+    got = pack(one.unionByName(other), Scratch(spark, "t")).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces"), F.countDistinct("offset").alias("places")).agg(F.max("n"), F.sum("pieces"), F.sum("places")).first()
+    assert got[0] <= 4096 and got[1] == got[2] == 140_000
+
+
 def exact_bins(sizes, capacity):
     """Fewest bins, by trying all places."""
     best = [len(sizes)]
@@ -152,7 +169,7 @@ def test_exchange_goes_on_while_it_brings_something(spark, monkeypatch):
     totals, rounds = [], []
     scratch = Scratch(spark, "t")
     save = scratch.save
-    monkeypatch.setattr(scratch, "save", lambda frame, name: rounds.append(save(frame, name)) or rounds[-1])
+    monkeypatch.setattr(scratch, "save", lambda frame, name: (rounds.append(save(frame, name)) or rounds[-1]) if name.startswith("round") else save(frame, name))
     bins = pack(df, scratch, capacity=100, partition_pieces=20).groupBy("sequence_id").sum("length").collect()
     assert sum(b[1] for b in bins) == sum(x[3] for x in rows) and max(b[1] for b in bins) <= 100
     closed = 0
