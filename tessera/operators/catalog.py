@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import hamming64
+from tessera.functions.text import stable_id
 
 #: Labels that are no item slots (fixed values; compared after label normalisation).
 NON_SLOT_LABELS = (
@@ -38,6 +39,14 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, name: str, visual: s
     return both.select(F.coalesce("_ok", "_nk").alias(key), "old_name", "new_name", change.alias("change"))
 
 
+def assign_ids(candidates: DataFrame, order: Sequence[str]) -> DataFrame:
+    """stable_id of every candidate (kind, adapter, identity, name); of equal ids the second
+    and later ones in order have ``_2``, ``_3``, ... (F20)."""
+    based = candidates.withColumn("_base", stable_id(F.col("kind"), F.col("adapter"), F.col("identity"), F.col("name")))
+    k = F.row_number().over(Window.partitionBy("_base").orderBy(*order))
+    return based.withColumn("_k", k).withColumn("stable_id", F.concat("_base", F.when(F.col("_k") > 1, F.concat(F.lit("_"), "_k")).otherwise(""))).drop("_base", "_k")
+
+
 def class_numbers(ids: DataFrame, previous: DataFrame, key: str) -> DataFrame:
     """Contiguous numbers from 0: survivors in their previous order, then new ids by name.
 

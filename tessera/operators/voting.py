@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import parse_readings
+
 
 def reading_votes(df: DataFrame, crop: Sequence[str], text: str, confidence: str, tie: Sequence[str], longest_first: bool = False) -> DataFrame:
     """The chosen text of each crop.
@@ -120,3 +122,19 @@ def unread(df: DataFrame, crop: Sequence[str], valid: Column, raw: str, order: s
     said = F.array_sort(F.array_distinct(F.flatten(F.collect_list(messages))))
     by = df.groupBy(*crop).agg(F.bool_or(valid).alias("_ok"), F.min_by(raw, order).alias("raw"), said.alias("_m")).where(~F.col("_ok"))
     return by.select(*crop, F.lit("unknown").alias("status"), "raw", F.when(F.size("_m") > 0, F.col("_m")).otherwise(F.array(F.lit("no_local_ocr_candidate"))).alias("messages"))
+
+
+def reading_status(parser: Column, valid: Column) -> Column:
+    """Status of one reading: a field without a parser is unsupported."""
+    return F.when(parser.isNull(), "unsupported").when(valid, "ok").otherwise("unknown")
+
+
+def suggested(df: DataFrame, keys: Sequence[str], value: str, raw: str, candidates: str, parser: str) -> DataFrame:
+    """keys and suggested_value: of rows without a value, the first reading that the parser
+    takes, the raw text before the candidates in order (X29)."""
+    missing = F.col(value).isNull() & F.col(parser).isNotNull()
+    readings = F.when(missing, F.concat(F.array(raw), F.coalesce(candidates, F.array().cast("array<string>"))))
+    rows = df.select(*keys, F.col(parser).alias("_parser"), F.posexplode_outer(readings).alias("_at", "_raw"))
+    parsed = parse_readings(rows, "_raw", "_parser")
+    taken = F.when(F.col("valid") & F.col("_raw").isNotNull(), F.col("_at"))
+    return parsed.groupBy(*keys).agg(F.min_by(F.when(taken.isNotNull(), F.col("value_str")), taken).alias("suggested_value"))

@@ -44,11 +44,11 @@ SELECT o_orderkey, parser, valid, CASE WHEN NOT valid THEN NULL
 @query("F2 F3 F25 F26", _PARSE_SQL)
 def parse_semantic_fields(spark, d):
     pairs = F.array(*[F.struct(F.lit(k).alias("parser"), F.expr(v).cast("string").alias("raw")) for k, v in _SPARK_RAW.items()])
-    rows = table(spark, d, "orders").select("o_orderkey", F.explode(pairs).alias("p")).select("o_orderkey", "p.parser", X.parse_recognised(F.col("p.raw"), F.col("p.parser")).alias("v"))
-    return rows.select("o_orderkey", "parser", "v.valid", "v.value_str", "v.value_num")
+    rows = table(spark, d, "orders").select("o_orderkey", F.explode(pairs).alias("p")).select("o_orderkey", "p.parser", "p.raw")
+    return X.parse_readings(rows, "raw", "parser").select("o_orderkey", "parser", "valid", "value_str", "value_num")
 
 
-@query("F2 F16", "SELECT c_custkey, regexp_replace(translate(replace(c_name || 'SIlO', ',', ''), 'OoIlS', '00115'), '[^0-9]', '', 'g') AS digits FROM customer")
+@query("F2", "SELECT c_custkey, regexp_replace(translate(replace(c_name || 'SIlO', ',', ''), 'OoIlS', '00115'), '[^0-9]', '', 'g') AS digits FROM customer")
 def digit_repair(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.numeric_text(F.concat("c_name", F.lit("SIlO"))).alias("digits"))
 
@@ -78,12 +78,24 @@ def url_host_allowlist(spark, d):
     return allowed_hosts(table(spark, d, "pages"), "url", ["ththre.example.com", "thther.example.org"]).select("page_id", "host", "allowed")
 
 
-@query("F12 F13", "SELECT page_id, regexp_replace(url, '[;?#].*$', '') AS redacted FROM pages")
+@query("F12", "SELECT page_id, regexp_replace(split_part(split_part(url || CASE WHEN page_id % 3 = 0 THEN ';a=1/b;c' WHEN page_id % 3 = 1 THEN ';x?y;z/w' ELSE '' END, '#', 1), '?', 1), ';[^/]*$', '') AS redacted FROM pages")
 def url_redact(spark, d):
-    return table(spark, d, "pages").select("page_id", X.redact_url(F.col("url")).alias("redacted"))
+    more = F.when(F.col("page_id") % 3 == 0, ";a=1/b;c").when(F.col("page_id") % 3 == 1, ";x?y;z/w").otherwise("")
+    return table(spark, d, "pages").select("page_id", X.redact_url(F.concat("url", more)).alias("redacted"))
 
 
-_SECRET = r"""regexp_matches(text, '(?i)(authorization|cookie|api[_-]?key|access[_-]?token)\s*[:=]\s*[''"]?[A-Za-z0-9+/=_-]{12,}') OR regexp_matches(text, '(?i)bearer\s+[A-Za-z0-9._~+/=-]{12,}')"""
+@query("F13", "SELECT p_partkey, 'https://wiki.example/api.php?action=query&format=json&titles=' || url_encode('File:' || p_name || ' é' || chr(39) || p_brand || '.png') AS address FROM part")
+def page_titles(spark, d):
+    title = F.concat(F.lit("File:"), "p_name", F.lit(" é'"), "p_brand", F.lit(".png"))
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("https://wiki.example/api.php?action=query&format=json&titles="), X.url_title(title)).alias("address"))
+
+
+@query("F16", "SELECT p_partkey, translate(p_brand || ' ' || p_type || 'lI', 'OolISsBZ', '00115582') AS corrected FROM part")
+def digit_corrections(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.corrected_digits(F.concat("p_brand", F.lit(" "), "p_type", F.lit("lI"))).alias("corrected"))
+
+
+_SECRET = " OR ".join("regexp_matches(text, '" + p.replace("'", "''") + "')" for p in X.SECRET_PATTERNS)
 
 
 @query("F14", f"SELECT source, count(*) AS documents, count(*) FILTER ({_SECRET}) AS with_secret FROM documents GROUP BY source")
@@ -91,36 +103,97 @@ def secret_scan(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.count_if(X.holds_secret(F.col("text"))).alias("with_secret"))
 
 
-@query("F19 F21 S5", "SELECT conv_id, turn, sha256(text) AS digest, sha256(strlen(role)::VARCHAR || ':' || role || strlen(text)::VARCHAR || ':' || text) AS content_key FROM conversations")
+@query("F19 F21 S5", """SELECT conv_id, turn, sha256(text) AS digest, CASE WHEN text <> '' THEN sha256(strlen(role)::VARCHAR || ':' || role || strlen(text)::VARCHAR || ':' || text) END AS content_key,
+  CASE WHEN text <> '' THEN sha256(encode('roles') || unhex('00') || unhex('0004') || encode('role') || unhex(lpad(hex(strlen(role)), 16, '0')) || unhex(sha256(role)) || unhex('0004') || encode('text') || unhex(lpad(hex(strlen(text)), 16, '0')) || unhex(sha256(text))) END AS framed_key FROM conversations""")
 def hash_content_key(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("digest"), X.content_key(F.col("role"), F.col("text")).alias("content_key"))
+    role, text = F.col("role"), F.col("text")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("digest"), X.content_key(role, text).alias("content_key"), X.framed_key("roles", role=role, text=text).alias("framed_key"))
 
 
-@query("F17 F20", "SELECT l_orderkey, l_partkey, l_linenumber, 'line:' || l_returnflag || ':' || CASE WHEN l_linenumber = 1 THEN '' ELSE l_linenumber::VARCHAR END AS record_id, 'part_' || lpad(l_partkey::VARCHAR, greatest(4, length(l_partkey::VARCHAR))::INT, '0') AS stable_id FROM lineitem")
+@query("F17", "SELECT l_orderkey, l_partkey, l_linenumber, 'line:' || l_returnflag || ':' || CASE WHEN l_linenumber = 1 THEN '' ELSE l_linenumber::VARCHAR END AS record_id, 'part_' || lpad(l_partkey::VARCHAR, greatest(4, length(l_partkey::VARCHAR))::INT, '0') AS numbered_id FROM lineitem")
 def record_ids(spark, d):
     line = F.when(F.col("l_linenumber") != 1, F.col("l_linenumber"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", X.record_id(F.lit("line"), F.col("l_returnflag"), line).alias("record_id"), X.stable_id(F.lit("part"), F.concat(F.lit("p-"), "l_partkey")).alias("stable_id"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", X.record_id(F.lit("line"), F.col("l_returnflag"), line).alias("record_id"), X.numbered_id("part", F.col("l_partkey")).alias("numbered_id"))
+
 
+@query("F20", """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'hero' ELSE 'item' END AS kind, c_mktsegment AS adapter, CASE WHEN c_custkey % 3 = 0 THEN 'id:' || (c_custkey // 4) ELSE 'x-' || (c_custkey // 5) END AS identity, CASE WHEN c_custkey % 7 = 0 THEN ' Empty slot' ELSE c_name END AS name FROM customer),
+b AS (SELECT *, CASE WHEN kind = 'hero' AND c_custkey % 3 = 0 THEN 'hero_' || lpad((c_custkey // 4)::VARCHAR, greatest(4, length((c_custkey // 4)::VARCHAR))::INT, '0') WHEN kind = 'item' AND c_custkey % 7 = 0 THEN 'item_empty_slot'
+  ELSE kind || '_' || substr(sha1(unhex('d8141574300b48fd9676a18202f8cd68') || encode(kind || ':' || adapter || ':' || identity)), 1, 12) END AS base FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY c_custkey) AS k FROM b) SELECT c_custkey, base || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS stable_id FROM n""")
+def stable_ids(spark, d):
+    from tessera.operators.catalog import assign_ids
 
-@query("F6", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_type ELSE p_name END AS value FROM part")
+    key = F.col("c_custkey")
+    c = table(spark, d, "customer").select("c_custkey", F.when(key % 2 == 0, "hero").otherwise("item").alias("kind"), F.col("c_mktsegment").alias("adapter"), F.when(key % 3 == 0, F.concat(F.lit("id:"), F.floor(key / 4))).otherwise(F.concat(F.lit("x-"), F.floor(key / 5))).alias("identity"), F.when(key % 7 == 0, " Empty slot").otherwise(F.col("c_name")).alias("name"))
+    return assign_ids(c, ["c_custkey"]).select("c_custkey", "stable_id")
+
+
+@query("F6", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN p_type WHEN 2 THEN p_brand ELSE p_name END AS value FROM part")
 def reviewed_values(spark, d):
-    said = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" (its x) (should be "), "p_brand", F.lit(")"))).when(F.col("p_partkey") % 3 == 1, F.concat("p_type", F.lit(" [sic]"))).otherwise(F.concat("p_name", F.lit(" (unsure)")))
+    """The first kind of correction wins over the second, whichever comes last."""
+    k = F.col("p_partkey") % 4
+    said = F.when(k == 0, F.concat("p_name", F.lit(" (its y) (human proof: its x) (should be "), "p_brand", F.lit(")"))).when(k == 1, F.concat("p_type", F.lit(" [sic]"))).when(k == 2, F.concat("p_name", F.lit(" (should be "), "p_brand", F.lit(".)"))).otherwise(F.concat("p_name", F.lit(" (unsure)")))
     return table(spark, d, "part").select("p_partkey", X.reviewed_value(said).alias("value"))
 
 
-@query("F7 F8", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 'none' ELSE 'float' END AS value_type, NULL::VARCHAR AS value_str, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_totalprice END AS value_num FROM orders")
+@query("F7", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'total_gold' WHEN 1 THEN 'total_gold_percent' WHEN 2 THEN 'rating' WHEN 3 THEN 'player_name' ELSE 'kills' END AS field, CASE o_orderkey % 5 WHEN 2 THEN 'float' WHEN 3 THEN 'str' WHEN 4 THEN CASE WHEN o_custkey % 2 = 0 THEN 'int' ELSE 'invalid' END ELSE 'int' END AS value_type,
+  CASE WHEN o_orderkey % 5 = 3 THEN o_orderpriority END AS value_str, CASE o_orderkey % 5 WHEN 0 THEN (o_custkey || '000')::DOUBLE WHEN 1 THEN (o_custkey % 101)::DOUBLE WHEN 2 THEN (o_custkey % 160) / 10.0 WHEN 4 THEN CASE WHEN o_custkey % 2 = 0 THEN (o_custkey % 30)::DOUBLE END END AS value_num FROM orders""")
+def typed_fields(spark, d):
+    k, c = F.col("o_orderkey") % 5, F.col("o_custkey")
+    field = F.when(k == 0, "gold").when(k == 1, "total_gold_percent").when(k == 2, "rating").when(k == 3, "name").otherwise("kills")
+    text = F.when(k == 0, F.concat(c, F.lit(" 000"))).when(k == 1, F.concat(c % 101, F.lit("% "))).when(k == 2, (c % 160 / 10).cast("string")).when(k == 3, F.col("o_orderpriority")).otherwise(F.concat(c % 30, F.when(c % 2 == 0, "").otherwise("?")))
+    return table(spark, d, "orders").select("o_orderkey", X.typed_field(field, text).alias("v")).select("o_orderkey", "v.*")
+
+
+@query("F9", "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN CASE WHEN l_returnflag = 'R' THEN 'true' ELSE 'false' END WHEN 1 THEN l_partkey::VARCHAR WHEN 2 THEN l_returnflag ELSE '<UNKNOWN_OR_EMPTY>' END AS written FROM lineitem")
+def export_values(spark, d):
+    k = F.col("l_linenumber") % 4
+    kind = F.when(k == 0, "bool").when(k == 1, "int").when(k == 2, "str").otherwise("none")
+    number = F.when(k == 0, (F.col("l_returnflag") == "R").cast("double")).otherwise(F.col("l_partkey").cast("double"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", X.export_text(kind, F.col("l_returnflag"), number).alias("written"))
+
+
+_SIX = "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'level' ELSE 'other' END AS parser, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 20)::VARCHAR ELSE '-' END AS r FROM customer"
+
+
+@query("P26", f"""SELECT c_custkey, CASE WHEN parser IS NULL THEN 'unsupported' WHEN parser = 'other' OR (r <> '-' AND r::INT BETWEEN 1 AND 15) THEN 'ok' ELSE 'unknown' END AS status, CASE WHEN parser IS NULL THEN 'semantic field has no OCR parser' WHEN parser = 'other' OR (r <> '-' AND r::INT BETWEEN 1 AND 15) THEN '' WHEN r = '-' THEN 'integer_invalid' ELSE 'integer_out_of_range' END AS messages FROM ({_SIX})""")
+def unsupported_fields(spark, d):
+    from tessera.operators.voting import reading_status
+
+    key = F.col("c_custkey")
+    rows = table(spark, d, "customer").select("c_custkey", F.when(key % 3 == 1, "level").when(key % 3 == 2, "other").alias("parser"), F.when(key % 2 == 0, (key % 20).cast("string")).otherwise("-").alias("raw"))
+    parsed = X.parse_readings(rows, "raw", "parser")
+    return parsed.select("c_custkey", reading_status(F.col("parser"), F.col("valid")).alias("status"), F.array_join("messages", ",").alias("messages"))
+
+
+@query("X29", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_custkey % 3 < 2 THEN (CASE o_custkey % 3 WHEN 0 THEN o_custkey % 15 + 1 ELSE o_custkey % 9 + 1 END)::VARCHAR END AS suggested_value FROM orders""")
+def suggested_values(spark, d):
+    """Of readings without a value, the first candidate that its parser takes: the raw text, then the evidence."""
+    from tessera.operators.voting import suggested
+
+    c = F.col("o_custkey")
+    raw = F.when(c % 3 == 0, (c % 15 + 1).cast("string")).otherwise("x")
+    others = F.when(c % 3 == 1, F.array(F.lit("99"), F.lit(None).cast("string"), (c % 9 + 1).cast("string"), F.lit("7"))).otherwise(F.array(F.lit("0"), F.lit("-")))
+    rows = table(spark, d, "orders").select("o_orderkey", F.lit("level").alias("parser"), F.when(F.col("o_orderkey") % 2 == 1, "5").alias("value"), raw.alias("raw"), others.alias("candidates"))
+    return suggested(rows, ["o_orderkey"], "value", "raw", "candidates", "parser").select("o_orderkey", "suggested_value")
+
+
+@query("F8", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 'none' ELSE 'float' END AS value_type, NULL::VARCHAR AS value_str, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_totalprice END AS value_num FROM orders")
 def typed_edits(spark, d):
     raw = F.when(F.col("o_orderkey") % 4 == 3, "None").otherwise(F.concat(F.lit(" "), F.format_string("%.2f", "o_totalprice")))
     return table(spark, d, "orders").select("o_orderkey", X.typed_edit(raw, F.lit("float")).alias("v")).select("o_orderkey", "v.*")
 
 
-@query("F10 F11", "SELECT p_partkey, p_partkey::INT AS number, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS title, replace(p_name, ' ', '_') AS file FROM part")
+@query("F10 F11", """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'hero' WHEN 1 THEN 'item' END AS kind, CASE WHEN p_partkey % 3 = 0 THEN p_partkey::INT END AS number,
+  CASE p_partkey % 3 WHEN 0 THEN upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] WHEN 1 THEN p_name END AS title, replace(p_name, ' ', '_') || '-o' AS file FROM part""")
 def file_identities(spark, d):
-    name = F.concat(F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit("_"), F.translate("p_name", " ", "_"), F.lit(".png"))
-    return table(spark, d, "part").select("p_partkey", X.filename_identity(name).alias("i"), X.safe_filename(F.col("p_name")).alias("file")).select("p_partkey", "i.number", "i.title", "file")
+    k = F.col("p_partkey") % 3
+    hero = F.concat(F.lit("hero_"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit("_"), F.translate("p_name", " ", "_"), F.lit(".png"))
+    name = F.when(k == 0, hero).when(k == 1, F.concat(F.lit("item_"), "p_name", F.lit(".png"))).otherwise(F.concat("p_name", F.lit(".png")))
+    return table(spark, d, "part").select("p_partkey", X.filename_identity(name).alias("i"), X.safe_filename(F.concat(F.upper("p_name"), F.lit("-'<o>"))).alias("file")).select("p_partkey", "i.*", "file")
 
 
-@query("F15 A30", "SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN q BETWEEN 41 AND 45 THEN q - 30 ELSE q END AS level, CASE WHEN r > 20 AND r < 200 THEN r / 10 ELSE r END AS rating FROM (SELECT *, l_quantity::INT AS q, round(l_quantity * 3)::DOUBLE AS r FROM lineitem)")
+@query("F15 A30", "SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN q BETWEEN 41 AND 45 THEN q - 30 ELSE q END AS level, CASE WHEN r < 10 THEN r WHEN r / 10 <= 20 THEN r / 10 END AS rating FROM (SELECT *, l_quantity::INT AS q, round(l_quantity * 3)::DOUBLE AS r FROM lineitem)")
 def legacy_repairs(spark, d):
     q = F.col("l_quantity").cast("int")
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", X.level_repair(q.cast("string")).alias("level"), X.rating_repair(F.round(F.col("l_quantity") * 3).cast("long").cast("string")).alias("rating"))

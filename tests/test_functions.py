@@ -1,5 +1,8 @@
 """Scalar expressions on literal values."""
 
+import hashlib
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,11 +38,26 @@ from tessera.functions import text as X
         ("  some   name ", "player_name", "some name"),
         ("x" * 65, "player_name", None),
         ("anything", "other", "anything"),
+        ("１２％", "percentage", "12"),
+        ("ＶＩＣＴＯＲＹ", "result", "VICTORY"),
+        ("１８：５９", "duration", "18:59"),
+        ("ｎａｍｅ\u3000ﬁx", "player_name", "name fix"),
+        ("999999999999999999999", "large_integer", None),
+        ("1,234", "large_integer", "1234"),
+        ("000123", "large_integer", "123"),
+        ("100%", "percentage", "100"),
+        ("8.1", "duration", None),
+        ("2026.1.2 3:04", "datetime", "2026-01-02 03:04"),
+        ("1-2-2026 13:04:05", "datetime", "2026-01-02 13:04:05"),
+        ("2026-02-30 10:00", "datetime", None),
+        ("12345678", "battle_id", "12345678"),
+        ("1234567", "battle_id", None),
+        ("x", None, None),
     ],
 )
 def test_parsers(spark, raw, parser, want):
     df = spark.createDataFrame([(raw, parser)], "raw string, parser string")
-    got = df.select(X.parse_recognised(F.col("raw"), F.col("parser")).alias("v")).select("v.*").first()
+    got = X.parse_readings(df, "raw", "parser").first()
     assert got["valid"] == (want is not None)
     assert got["value_str"] == want
     assert (len(got["messages"]) == 0) == got["valid"]
@@ -51,7 +69,9 @@ def one(spark, column, **values):
 
 
 def test_messages(spark):
-    get = lambda raw, parser: one(spark, X.parse_recognised(F.lit(raw), F.lit(parser))["messages"][0])
+    def get(raw, parser):
+        return X.parse_readings(spark.createDataFrame([(raw, parser)], "raw string, parser string"), "raw", "parser").first()["messages"][0]
+
     assert get("", "level") == "empty_ocr" and get("x", "level") == "integer_invalid" and get("99", "level") == "integer_out_of_range"
     assert get("18:72", "duration") == "duration_out_of_range" and get("1", "duration") == "duration_invalid"
     assert get("2026-02-30 10:00", "datetime") == "datetime_out_of_range" and get("draw", "result") == "result_unrecognized"
@@ -60,15 +80,35 @@ def test_messages(spark):
 def test_text(spark):
     assert one(spark, X.normalize_label(F.lit("  Blade ’of—DESPAIR!! x_1"))) == "blade of despair x_1"
     assert one(spark, X.normalize_name(F.lit(" A.b-C d "))) == "abc d"
-    assert one(spark, X.reviewed_value(F.lit("foo (its bar) (should be baz qux)"))) == "baz qux"
-    assert one(spark, X.reviewed_value(F.lit("foo bar [sic] (unsure)"))) == "foo bar"
+    said = {"foo (its bar) (should be baz qux)": "bar", "foo (should be A) (should be B.)": "B", "P (human proof: its C) (its D)": "D", "x (  ITS  y z ) w": "y z", "foo bar [sic] (unsure)": "foo bar", "[a] b [c]": "[a] b", "(unsure)": ""}
+    assert {k: one(spark, X.reviewed_value(F.lit(k))) for k in said} == said
     assert one(spark, X.redact_url(F.lit("https://a.example/x;p?q=1#f"))) == "https://a.example/x"
+    assert one(spark, X.redact_url(F.lit("https://a.example/x;p/y;q"))) == "https://a.example/x;p/y"
     assert one(spark, X.url_host(F.lit("HTTPS://A.Example:8080/x"))) == "a.example"
     assert one(spark, X.record_id(F.lit("s"), F.lit(None).cast("string"), F.lit(3))) == "s::3"
-    assert one(spark, X.stable_id(F.lit("hero"), F.lit("id-17"))) == "hero_0017"
+    ids = {("hero", "local", "hero:17", "x"): "hero_0017", ("hero", "local", "hero:123456", "x"): "hero_123456", ("hero", "a", "00017", "x"): "hero_0017", ("item", "a", "b:3", "Empty  SLOT"): "item_empty_slot"}
+    for k in (("hero", "local", "17-x", "n"), ("item", "wiki", "b:3", "Blade")):
+        ids[k] = f"{k[0]}_{uuid.uuid5(uuid.UUID('d8141574-300b-48fd-9676-a18202f8cd68'), ':'.join(k[:3])).hex[:12]}"
+    assert {k: one(spark, X.stable_id(*map(F.lit, k))) for k in ids} == ids
+    assert one(spark, X.framed_key("t", ab=F.lit("xyz"))) == hashlib.sha256(b"t\0" + b"\0\2ab" + (3).to_bytes(8, "big") + hashlib.sha256(b"xyz").digest()).hexdigest()
+    assert one(spark, X.framed_key("t", ab=F.lit(""))) is None and one(spark, X.content_key(F.lit("a"), F.lit(""))) is None
     assert one(spark, X.content_key(F.lit("ab"), F.lit("c"))) != one(spark, X.content_key(F.lit("a"), F.lit("bc")))
     assert one(spark, X.nfkc(F.col("t")), t="Ａ①") == "A1"
-    assert one(spark, X.safe_filename(F.lit(" A b--c! "))) == "a_b_c"
+    names = {"A b--c!": "a_b--c!", "X.O'Brien: <q>|\\/?*\"": "x.obrien_q"}
+    assert {k: one(spark, X.safe_filename(F.lit(k))) for k in names} == names
+    files = {"hero_017_some_name.png": ("hero", 17, "Some Name"), "hero_5_a1b-c.d.png": ("hero", 5, "A1B C D"), "item_Blade of Despair.png": ("item", None, "Blade of Despair"), "17_x.png": (None, None, None), "hero_x_y.png": (None, None, None)}
+    assert {k: tuple(one(spark, X.filename_identity(F.lit(k)))) for k in files} == files
+    ratings = {"12": 1.2, "205": None, "1.2.3": 1.2, "103": 10.3, "80": 8.0, "7": 7.0, "": None, ".": None, "20.0": 20.0, "20.1": None, "a 9.96 b": 10.0, "200": 20.0}
+    assert {k: one(spark, X.rating_repair(F.lit(k))) for k in ratings} == ratings
+    folded = {"STRASSE": "strasse", "Straße": "strasse", "ΣΑΣ": "σασ", "ıİ": "ıi̇", "ﬁx": "fix"}
+    assert {k: one(spark, X.casefold(F.lit(k))) for k in folded} == {k: k.casefold() for k in folded} == folded
+    fields = {("gold", "1 234"): ("total_gold", "int", None, 1234.0), ("total_gold_percent", "52% "): ("total_gold_percent", "int", None, 52.0), ("rating", "9.8"): ("rating", "float", None, 9.8), ("name", "A b"): ("player_name", "str", "A b", None), ("kills", "x"): ("kills", "invalid", None, None)}
+    assert {k: tuple(one(spark, X.typed_field(*map(F.lit, k)))) for k in fields} == fields
+    null = F.lit(None)
+    out = [("bool", null, F.lit(1.0), "true"), ("int", null, F.lit(7.0), "7"), ("float", null, F.lit(7.0), "7.0"), ("str", F.lit("a"), null, "a"), ("none", null, null, "<UNKNOWN_OR_EMPTY>")]
+    assert all(one(spark, X.export_text(F.lit(k), s.cast("string"), n.cast("double"))) == want for k, s, n, want in out)
+    assert one(spark, X.url_title(F.lit("File:Añ o's.png"))) == "File%3AA%C3%B1%20o%27s.png"
+    assert one(spark, X.corrected_digits(F.lit("OoIlSsBZ"))) == "00115582"
     assert one(spark, X.level_repair(F.lit("T4"))) == 14 and one(spark, X.level_repair(F.lit("73"))) == 13
     assert one(spark, X.holds_secret(F.lit("api_key = 'abcdefghijkl'"))) and not one(spark, X.holds_secret(F.lit("token passing")))
 

@@ -77,9 +77,9 @@ def test_ledger(spark, tmp_path):
 
 
 def test_catalog_directory_and_profiles(spark, tmp_path):
-    for name in ("001_blade_of_despair.png", "002_magic_potion.png", "x.png"):
+    for name in ("hero_001_blade_of-despair.png", "item_Magic Potion.png", "x.png"):
         png(tmp_path / "items" / name, pattern(3))
-    (tmp_path / "items" / "003_empty.png").write_bytes(b"")
+    (tmp_path / "items" / "item_Empty.png").write_bytes(b"")
     meta = spark.createDataFrame([("x.png", "Known")], "file string, name string")
     good, bad = D.catalog_directory(spark, f"{tmp_path}/items", meta)
     assert {r["canonical_name"] for r in good.collect()} == {"Blade Of Despair", "Known"}
