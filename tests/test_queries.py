@@ -55,10 +55,35 @@ def test_all_rows_are_references(spark, tmp_path):
     v = [[1.0] * 64, [0.5] * 64, [0.9] * 64, [-1.0] * 64]
     rows = [(0, 1, v[0]), (1, 1, v[1]), (100, 1, v[2]), (101, 2, v[3])]
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    best = {(r["query_id"], r["entity"], r["source"]): r["ref_id"] for r in RUN["match_best_per_source_all"](spark, str(tmp_path)).collect()}
+    best = {(r["query_id"], r["entity"], r["source"]): r["ref_id"] for r in RUN["match_best_per_source"](spark, str(tmp_path)).collect()}
     assert best == {(0, 1, "catalog"): 100, (0, 1, "prototype"): 1, (0, 2, "prototype"): 101, (100, 1, "catalog"): 0, (100, 1, "prototype"): 1, (100, 2, "prototype"): 101}
-    own = sorted(n for n, q in SQL.items() if "% 100 <> 0" in q)
-    assert len(own) == 12 and all("% 100 <> 0" not in SQL[f"{n}_all"] and "r.vec_id <> q.vec_id" in SQL[f"{n}_all"] for n in own)
+    assert not [n for n, q in SQL.items() if "% 100 <> 0" in q]
+
+
+def test_scores_in_blocks_and_batches_lose_no_winner(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessera.operators import ranking as R
+
+    r = np.random.default_rng(4)
+    v = np.round(r.normal(size=(300, 6)), 1)
+    e = spark.createDataFrame([(i, i % 5, v[i].tolist()) for i in range(300)], "ref_id long, entity int, ref_vector array<double>").repartition(7)
+    q = e.where("ref_id % 10 = 0").select(F.col("ref_id").alias("query_id"), F.col("ref_vector").alias("query_vector"))
+    whole, half = {"a": (0, 6)}, {"a": (0, 6), "b": (0, 3)}
+    pairs = {(i, j): (float(v[i] @ v[j]), float(v[i][:3] @ v[j][:3])) for i in range(0, 300, 10) for j in range(300) if i != j}
+    for block in (7, 10_000):
+        got = {(x[0], x[1]): (round(x[2], 6), round(x[3], 6)) for x in R.score_vectors(q, e, half, block_rows=block).select("query_id", "ref_id", "a", "b").collect()}
+        assert got == {k: (round(a, 6), round(b, 6)) for k, (a, b) in pairs.items()}
+        best = R.best_reference(R.score_vectors(q, e, whole, ["entity"], block_rows=block), ["query_id", "entity"], "score", ["ref_id"]).collect()
+        for x in best:
+            mine = [(a, j) for (i, j), (a, _) in pairs.items() if i == x["query_id"] and j % 5 == x["entity"]]
+            assert abs(x["score"] - max(mine)[0]) < 1e-9 and x["ref_id"] in [j for a, j in mine if abs(a - max(mine)[0]) < 1e-9]
+        assert len(best) == 30 * 5
+        few = R.top_k(R.score_vectors(q, e, whole, top=4, block_rows=block), "query_id", "a", ["ref_id"], 4).collect()
+        for i in range(0, 300, 10):
+            want = sorted((a for (k, _), (a, _) in pairs.items() if k == i), reverse=True)[:4]
+            assert np.allclose(sorted((x["a"] for x in few if x["query_id"] == i), reverse=True), want)
 
 
 def test_entry_points(spark):
