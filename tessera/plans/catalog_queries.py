@@ -97,7 +97,7 @@ def _issues(spark, d):
     )
 
 
-@query("C6 A41", f"WITH {_ISSUES} SELECT severity, code, subject FROM i")
+@query("C6", f"WITH {_ISSUES} SELECT severity, code, subject FROM i")
 def catalog_audit_rules(spark, d):
     return _issues(spark, d)
 
@@ -153,6 +153,6 @@ def catalog_aliases(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(merged, "|").alias("aliases"))
 
 
-@query("C12 J16", "SELECT min(o_custkey) AS stops_after FROM (SELECT o_custkey, lead(o_custkey) OVER (ORDER BY o_custkey) AS nxt FROM (SELECT DISTINCT o_custkey FROM orders)) WHERE nxt - o_custkey > 3 OR nxt IS NULL")
+@query("C12", "SELECT min(o_custkey) AS stops_after FROM (SELECT o_custkey, lead(o_custkey) OVER (ORDER BY o_custkey) AS nxt FROM (SELECT DISTINCT o_custkey FROM orders)) WHERE nxt - o_custkey > 3 OR nxt IS NULL")
 def catalog_missing_island(spark, d):
     return C.missing_island(table(spark, d, "orders"), "o_custkey", 3)

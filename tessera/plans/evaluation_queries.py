@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluation as E
+from tessera.operators.rules import stable_keys
 from tessera.plans.registry import query, table
 
 
@@ -158,8 +159,8 @@ def eval_top3_guard(spark, d):
 
 @query("A17 F44 P19", """SELECT event_id, '{"a":"' || event_type || '","b":"' || user_id || '"}' AS canonical, event_id % 2 = 0 AS equal FROM events""")
 def eval_canonical_json(spark, d):
-    value = F.create_map(F.lit("b"), F.col("user_id").cast("string"), F.lit("a"), F.col("event_type"), F.lit("run_at"), F.col("ts").cast("string"))
-    stable = F.map_filter(value, lambda k, _: k != "run_at")  # run-volatile keys are left out
+    value = F.create_map(F.lit("b"), F.col("user_id").cast("string"), F.lit("a"), F.col("event_type"), F.lit("timestamp"), F.col("ts").cast("string"))
+    stable = stable_keys(value)
     other = F.create_map(F.lit("a"), F.col("event_type"), F.lit("b"), (F.col("user_id") + F.col("event_id") % 2).cast("string"))
     return table(spark, d, "events").select("event_id", E.canonical_json(stable).alias("canonical"), (E.canonical_json(stable) == E.canonical_json(other)).alias("equal"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import evaluation as E
 from tessera.operators import geometry as G
 from tessera.operators import review as V
+from tessera.operators import rules as R
 from tessera.plans.registry import query, table
 
 
@@ -35,7 +36,7 @@ def review_repeated_truth(spark, d):
     return V.repeated_truth(r, ["g", "turn"], "conv_id", "truth", "turn").select("conv_id", "turn", "repeated_truth")
 
 
-@query("A34 A35 A36 A45", """WITH k AS (SELECT u.user_id, t.event_type FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(['click', 'error', 'purchase', 'signup', 'skip', 'view']) AS event_type) t)
+@query("A34 A35", """WITH k AS (SELECT u.user_id, t.event_type FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(['click', 'error', 'purchase', 'signup', 'skip', 'view']) AS event_type) t)
 SELECT k.user_id, k.event_type, count(e.event_id) AS n, 0::BIGINT AS is_total FROM k LEFT JOIN events e ON e.user_id = k.user_id AND e.event_type = k.event_type GROUP BY ALL
 UNION ALL SELECT user_id, NULL, count(*), 1 FROM events GROUP BY user_id UNION ALL SELECT NULL, NULL, count(*), 3 FROM events""")
 def review_counts_rollup(spark, d):
@@ -89,7 +90,7 @@ def truth_majority(spark, d):
     return V.truth_majority(table(spark, d, "lineitem"), ["l_orderkey"], "l_returnflag")
 
 
-@query("J2 U7 J21", """WITH a AS (SELECT DISTINCT l_orderkey, CASE WHEN l_linenumber > 5 THEN NULL ELSE l_linenumber END AS n FROM lineitem WHERE l_returnflag <> 'R'), b AS (SELECT DISTINCT l_orderkey, CASE WHEN l_linenumber > 5 THEN NULL ELSE l_linenumber END AS n FROM lineitem WHERE l_returnflag <> 'A')
+@query("J2 U7", """WITH a AS (SELECT DISTINCT l_orderkey, CASE WHEN l_linenumber > 5 THEN NULL ELSE l_linenumber END AS n FROM lineitem WHERE l_returnflag <> 'R'), b AS (SELECT DISTINCT l_orderkey, CASE WHEN l_linenumber > 5 THEN NULL ELSE l_linenumber END AS n FROM lineitem WHERE l_returnflag <> 'A')
 SELECT *, 'right' AS missing_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'left' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def review_both_sides(spark, d):
     li = table(spark, d, "lineitem").withColumn("n", F.when(F.col("l_linenumber") <= 5, F.col("l_linenumber")))
@@ -198,20 +199,19 @@ def slot_and_percentage_boxes(spark, d):
 
 
 # Wide records to long, with positions and ranges checked.
-@query("P20 P21 P10", """SELECT o_orderkey, f AS field, v AS value, CASE WHEN v IS NULL THEN 'unknown' ELSE 'ok' END AS status FROM (SELECT o_orderkey, unnest(['status', 'priority', 'late']) AS f, unnest([o_orderstatus, substr(o_orderpriority, 3), CASE WHEN o_totalprice > 250000 THEN 'y' END]) AS v FROM orders)""")
+@query("P20", """SELECT o_orderkey, f AS field, v AS value, CASE WHEN v IS NULL THEN 'unknown' ELSE 'ok' END AS status FROM (SELECT o_orderkey, unnest(['status', 'priority', 'late']) AS f, unnest([o_orderstatus, substr(o_orderpriority, 3), CASE WHEN o_totalprice > 250000 THEN 'y' END]) AS v FROM orders)""")
 def wide_to_long(spark, d):
-    fields = F.array(F.struct(F.lit("status").alias("field"), F.col("o_orderstatus").alias("value")), F.struct(F.lit("priority").alias("field"), F.substring("o_orderpriority", 3, 100).alias("value")), F.struct(F.lit("late").alias("field"), F.when(F.col("o_totalprice") > 250000, "y").alias("value")))
-    return table(spark, d, "orders").select("o_orderkey", F.explode(fields).alias("p")).select("o_orderkey", "p.*").withColumn("status", F.when(F.col("value").isNull(), "unknown").otherwise("ok"))
+    return R.long_fields(table(spark, d, "orders"), ["o_orderkey"], {"status": F.col("o_orderstatus"), "priority": F.substring("o_orderpriority", 3, 100), "late": F.when(F.col("o_totalprice") > 250000, "y")})
 
 
 @query("A33", "SELECT o_orderstatus, count(*) AS n, count(*) FILTER (o_totalprice > 200000) AS large, round_even(avg(o_totalprice), 3) AS mean FROM orders GROUP BY o_orderstatus")
 def legacy_summary(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 200000).alias("large"), F.bround(F.avg("o_totalprice"), 3).alias("mean"))
+    return R.summary(table(spark, d, "orders"), ["o_orderstatus"], {"large": F.col("o_totalprice") > 200000}, {"mean": F.col("o_totalprice")})
 
 
 @query("A42 X28", "SELECT o_custkey, list_aggregate(list_sort(list_distinct(list(o_orderpriority))), 'string_agg', '|') AS warnings FROM orders GROUP BY o_custkey")
 def sorted_warnings(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("warnings"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(R.sorted_set("o_orderpriority"), "|").alias("warnings"))
 
 
 # Streams.
@@ -252,7 +252,7 @@ def memo_once_per_key(spark, d):
     return once_per_key(e, ["event_type", "user_id"], work).select("event_id", "result")
 
 
-@query("T2 X20", "SELECT * FROM (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F') UNION ALL (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 64)")
+@query("T3 X20", "SELECT * FROM (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F') UNION ALL (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 64)")
 def job_retention(spark, d):
     from tessera.streaming.jobs import retain_terminal
 
@@ -275,15 +275,12 @@ def profile_hypotheses(spark, d):
 @query("X30", "SELECT doc_id, CASE WHEN toxic IS NULL THEN 'UNKNOWN' WHEN toxic = 0 THEN 'empty' ELSE doc_id || ' — ' || source END AS display FROM documents LEFT JOIN labels USING (doc_id)")
 def entity_display(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    return rows.select("doc_id", F.when(F.col("toxic").isNull(), "UNKNOWN").when(F.col("toxic") == 0, "empty").otherwise(F.concat("doc_id", F.lit(" — "), "source")).alias("display"))
+    known = F.when(F.col("toxic").isNotNull(), F.col("doc_id"))
+    return rows.select("doc_id", R.display(known, F.col("source"), F.when(F.col("toxic") == 0, "empty").otherwise("ok")).alias("display"))
 
 
 
 @query("P9", "SELECT l_orderkey, l_partkey, l_linenumber, l_quantity BETWEEN 1 AND 45 AND l_returnflag IN ('A', 'N') AS valid FROM lineitem")
 def rule_validation(spark, d):
-    rules = [("l_quantity", 1, 45, None), ("l_returnflag", None, None, ["A", "N"])]
-    ok = F.lit(True)
-    for name, low, high, allowed in rules:
-        c = F.col(name)
-        ok = ok & (c >= low if low is not None else F.lit(True)) & (c <= high if high is not None else F.lit(True)) & (c.isin(*allowed) if allowed else F.lit(True))
+    ok = R.valid_by_rules(F.col("l_quantity"), {"min": 1, "max": 45}) & R.valid_by_rules(F.col("l_returnflag"), {"min_length": 1, "allowed_values": ["A", "N"]}) & R.valid_by_rules(F.col("l_tax"), {})
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", ok.alias("valid"))

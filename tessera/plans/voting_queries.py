@@ -44,7 +44,7 @@ def consensus_apply(spark, d):
     return out.select(*_KEY, "l_partkey", "l_returnflag", "final_value", "message")
 
 
-@query("A28 A32", f"WITH {_ROWS}, g AS (SELECT l_orderkey, l_returnflag, count(*) AS votes, min((l_partkey, l_suppkey, l_extendedprice, l_quantity, l_linenumber)) AS f FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY votes DESC, f) AS rn, sum(votes) OVER (PARTITION BY l_orderkey)::BIGINT AS total FROM g) SELECT l_orderkey, l_returnflag, votes, total FROM k WHERE rn = 1")
+@query("A28", f"WITH {_ROWS}, g AS (SELECT l_orderkey, l_returnflag, count(*) AS votes, min((l_partkey, l_suppkey, l_extendedprice, l_quantity, l_linenumber)) AS f FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY votes DESC, f) AS rn, sum(votes) OVER (PARTITION BY l_orderkey)::BIGINT AS total FROM g) SELECT l_orderkey, l_returnflag, votes, total FROM k WHERE rn = 1")
 def vote_majority_first_tie(spark, d):
     return V.majority_first(_rows(spark, d), ["l_orderkey"], "l_returnflag", [*_ORD, "l_linenumber"])
 
@@ -88,7 +88,7 @@ def vote_joined_confidence(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(V.weighted_confidence(F.col("l_linenumber") - 1, F.col("l_discount")) + 1e-9, 6).alias("confidence"), F.round(F.avg(F.when(F.col("l_tax") >= 0.02, F.col("l_tax"))) / 100, 8).alias("mean_confidence"))
 
 
-@query("P24 P26", """WITH r AS (SELECT *, CASE WHEN l_linenumber > 4 THEN 'right80-x' ELSE 'native' END AS variant, l_discount > 0.02 AS ok FROM lineitem),
+@query("P24", """WITH r AS (SELECT *, CASE WHEN l_linenumber > 4 THEN 'right80-x' ELSE 'native' END AS variant, l_discount > 0.02 AS ok FROM lineitem),
 a AS (SELECT *, max(CASE WHEN variant LIKE 'right80-%' AND ok AND l_linestatus = 'O' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey, l_linestatus) AS routed FROM r)
 SELECT l_orderkey, l_linenumber, l_partkey, variant FROM a WHERE routed = 0 OR (variant LIKE 'right80-%' AND ok AND l_linestatus = 'O')""")
 def vote_right_edge(spark, d):
