@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import hamming64
 from tessera.functions.text import stable_id
+from tessera.operators.numbering import number_rows
 
 #: Labels that are no item slots (fixed values; compared after label normalisation).
 NON_SLOT_LABELS = (
@@ -50,11 +51,11 @@ def assign_ids(candidates: DataFrame, order: Sequence[str]) -> DataFrame:
 def class_numbers(ids: DataFrame, previous: DataFrame, key: str) -> DataFrame:
     """Contiguous numbers from 0: survivors in their previous order, then new ids by name.
 
-    A class map is a dimension of bounded size; the numbering is one ordered pass.
+    Numbered by sorted ranges, each in its own task.
     """
     prev = previous.select(F.col(key), F.col("index").alias("_prev"))
-    w = Window.orderBy(F.col("_prev").isNull(), "_prev", key)
-    return ids.select(key).distinct().join(prev, key, "left").withColumn("index", (F.row_number().over(w) - 1).cast("int")).withColumnRenamed("_prev", "previous_index")
+    rows = ids.select(key).distinct().join(prev, key, "left").withColumn("_new", F.col("_prev").isNull())
+    return number_rows(rows, ["_new", "_prev", key], "index").select(key, F.col("_prev").alias("previous_index"), F.col("index").cast("int").alias("index"))
 
 
 def tiered_match(candidates: DataFrame, previous: DataFrame, candidate: str, tiers: Sequence[tuple[Column, Column]], identity: str) -> DataFrame:
@@ -205,6 +206,11 @@ def merge_first_wins(parts: Sequence[DataFrame], digest: str, label: str, order:
 
 
 def missing_island(ids: DataFrame, key: str, limit: int = 20) -> DataFrame:
-    """The first id after which ``limit`` consecutive ids are absent."""
-    w = Window.orderBy(key)
-    return ids.select(key).distinct().withColumn("_next", F.lead(key).over(w)).where((F.col("_next") - F.col(key) > limit) | F.col("_next").isNull()).agg(F.min(key).alias("stops_after"))
+    """The first id after which ``limit`` consecutive ids are absent.
+
+    Ids are dealt to blocks of ``limit`` numbers: inside a block no gap is that wide, and the
+    id after a block's last is the first of the next block, so one equality join decides.
+    """
+    blocks = ids.where(F.col(key).isNotNull()).groupBy(F.floor(F.col(key) / limit).alias("_b")).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    after = blocks.select((F.col("_b") - 1).alias("_b"), F.col("_first").alias("_next"))
+    return blocks.join(after, "_b", "left").where((F.col("_next") - F.col("_last") > limit) | F.col("_next").isNull()).agg(F.min("_last").alias("stops_after"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.evaluation import null_safe_join
+
 
 def exceptions(branches: Sequence[tuple[DataFrame, Column]], keys: Sequence[str]) -> DataFrame:
     """Rows that any branch finds, with their distinct reasons, sorted and joined."""
@@ -28,14 +30,18 @@ def warning_rows(warnings: DataFrame, rows: DataFrame, text: str) -> DataFrame:
 def repeated_truth(records: DataFrame, key: Sequence[str], record: str, truth: str, reviewed: str) -> DataFrame:
     """For each record, the truth that all *other* reviewed records of its key agree on.
 
-    From one grouping: distinct truths and counts by key and value, not a self-join.
+    Of each key's values only the least and the greatest matter, and whether there are more:
+    without its own row a record's value is left if another record has it too.
     """
-    by_value = records.groupBy(*key, truth).agg(F.count("*").alias("_n"), F.max(F.struct(reviewed, record)).alias("_last"))
-    per_key = by_value.groupBy(*key).agg(F.count("*").alias("_values"), F.array_sort(F.collect_list(F.struct(truth, "_n", "_last"))).alias("_v"))
-    joined = records.join(per_key, list(key))
-    # Without its own row: values that keep a count of one or more.
-    others = F.filter("_v", lambda v: (v[truth] != F.col(truth)) | (v["_n"] > 1))
-    return joined.withColumn("_o", others).select(*records.columns, F.when(F.size("_o") == 1, F.col("_o")[0][truth]).alias("repeated_truth"))
+    by_value = records.groupBy(*key, truth).agg(F.count("*").alias("_n"))
+    given = F.col(truth).isNotNull()
+    per_key = by_value.groupBy(*key).agg(F.count_if(given).alias("_values"), F.min(truth).alias("_low"), F.max(truth).alias("_high"), F.min_by("_n", truth).alias("_n_low"), F.max_by("_n", truth).alias("_n_high"))
+    joined = null_safe_join(records, per_key, list(key))
+    own = F.col(truth)
+    alone = (own.eqNullSafe(F.col("_low")) & (F.col("_n_low") == 1)) | (own.eqNullSafe(F.col("_high")) & (F.col("_n_high") == 1))
+    other = F.when(own.eqNullSafe(F.col("_low")), F.col("_high")).otherwise(F.col("_low"))
+    agreed = F.when(F.col("_values") == 1, F.when(own.isNull() | ~alone, F.col("_low"))).when((F.col("_values") == 2) & alone, other)
+    return joined.select(*records.columns, agreed.alias("repeated_truth"))
 
 
 def zero_filled(counts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:

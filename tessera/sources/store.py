@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -31,10 +32,12 @@ def read_bytes(spark: SparkSession, path: str, limit: int) -> bytes:
 
 
 def write_atomic(spark: SparkSession, path: str, data: bytes, overwrite: bool = True) -> None:
-    """Writes beside the target and renames, so readers see all or nothing (K1)."""
+    """Writes beside the target and renames over it in one step, so that readers see the old
+    bytes or the new ones, and of two writers that may not overwrite one fails (K1)."""
     fs, where = _file(spark, path)
-    if fs.exists(where) and not overwrite:
-        raise FileExistsError(path)
+    jvm = spark.sparkContext._jvm
+    if where.getParent() is not None:
+        fs.mkdirs(where.getParent())
     _, beside = _file(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(beside, True)
     try:
@@ -42,10 +45,17 @@ def write_atomic(spark: SparkSession, path: str, data: bytes, overwrite: bool =
         out.hsync()
     finally:
         out.close()
-    if fs.exists(where):
-        fs.delete(where, False)
-    if not fs.rename(beside, where):
-        raise OSError(f"could not move {beside} to {where}")
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE if overwrite else kind.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        context.rename(fs.makeQualified(beside), fs.makeQualified(where), how)
+    except Py4JJavaError as e:
+        fs.delete(beside, False)
+        if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+            raise FileExistsError(path) from None
+        raise
 
 
 def empty_files(spark: SparkSession, pattern: str) -> list[str]:

@@ -18,6 +18,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.operators.catalog import latest
 from tessera.session import scratch_root, ship_package
+from tessera.operators.evaluation import null_safe_join
 
 OUTPUT = "content_key string, event_id long, outcome string, job_id long"
 
@@ -110,7 +111,7 @@ def once_per_key(df: DataFrame, keys: Sequence[str], work) -> DataFrame:
     belongs in the keys.
     """
     done = work(df.select(*keys).dropDuplicates(list(keys)))
-    return df.join(done, list(keys), "left")
+    return null_safe_join(df, done, list(keys))
 
 
 def event_windows(events: DataFrame, duration: str, delay: str) -> DataFrame:
