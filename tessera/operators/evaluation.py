@@ -16,7 +16,8 @@ from tessera.functions.numbers import aspect, ratio, ratio_status
 
 #: Accepted-confidence thresholds of selective accuracy.
 THRESHOLDS = (0.0, 0.5, 0.7, 0.8, 0.9, 0.95, 0.99)
-METRICS = ("geometry_success", "mean_edge_error", "hero_top1", "hero_top3", "item_occupancy", "item_top1", "item_top3", "unknown_false_accept", "unknown_false_reject", "ocr_exact", "character_error_rate", "numeric_exact", "zero_to_missing", "missing_to_zero", "calibration_error", "brier", "full_json_exact", "critical_exact", "latency_mean", "latency_p95", "memory_peak", "per_class_recall")
+#: Names of a run's metrics.
+METRICS = ("geometry_success", "normalized_coordinate_error", "hero_top1_accuracy", "hero_top3_accuracy", "hero_per_class_recall", "item_top1_accuracy", "item_top3_accuracy", "item_occupancy_accuracy", "item_per_class_recall", "unknown_false_accept_rate", "unknown_false_reject_rate", "ocr_exact_sequence_accuracy", "ocr_character_error_rate", "numeric_exact_value_accuracy", "zero_missing_confusion", "confidence_calibration", "full_json_exact_match", "critical_field_exact_match", "latency", "memory", "selective_accuracy", "slices")
 
 
 def last_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

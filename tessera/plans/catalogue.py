@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import catalog_queries, evaluation_queries, matching_queries, review_queries, rules_queries, text_queries, voting_queries  # noqa: F401
+from tessera.plans import benchmark_queries, catalog_queries, evaluation_queries, matching_queries, review_queries, rules_queries, text_queries, voting_queries  # noqa: F401
 from tessera.plans.registry import ENTRIES
 from tessera.session import ship_package
 

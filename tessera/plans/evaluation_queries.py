@@ -30,7 +30,7 @@ def eval_left_join_checks(spark, d):
 
 _TOP = """
 SELECT metric, CASE WHEN d = 0 THEN 'unavailable' ELSE 'available' END AS status, n / nullif(d, 0) AS value, n AS numerator, d AS denominator, 'ratio' AS unit FROM (
-  SELECT unnest(['hero_top1', 'unknown_false_accept', 'unknown_false_reject', 'critical_exact', 'item_top3']) AS metric,
+  SELECT unnest(['hero_top1_accuracy', 'unknown_false_accept_rate', 'unknown_false_reject_rate', 'critical_field_exact_match', 'item_top3_accuracy']) AS metric,
          unnest([a, b, c, e, f]::DOUBLE[]) AS n, unnest([k, u, k, s, z]::DOUBLE[]) AS d FROM (
     SELECT count(*) FILTER (known AND quality = 1) AS a, count(*) FILTER (NOT known AND quality = 1) AS b, count(*) FILTER (known AND quality IS NULL) AS c,
            count(*) FILTER (matched AND toxic = 0) AS e, 0 AS f, count(*) FILTER (known) AS k, count(*) FILTER (NOT known) AS u, count(*) FILTER (matched) AS s, 0 AS z
@@ -43,11 +43,11 @@ def _topline(spark, d):
     return E.metric_table(
         c,
         [
-            E.metric_row("hero_top1", F.count_if(known & good), F.count_if(known)),
-            E.metric_row("unknown_false_accept", F.count_if(~known & good), F.count_if(~known)),
-            E.metric_row("unknown_false_reject", F.count_if(known & F.col("quality").isNull()), F.count_if(known)),
-            E.metric_row("critical_exact", F.count_if(F.col("matched") & (F.col("toxic") == 0)), F.count_if("matched")),
-            E.metric_row("item_top3", F.max(zero), F.max(zero)),
+            E.metric_row("hero_top1_accuracy", F.count_if(known & good), F.count_if(known)),
+            E.metric_row("unknown_false_accept_rate", F.count_if(~known & good), F.count_if(~known)),
+            E.metric_row("unknown_false_reject_rate", F.count_if(known & F.col("quality").isNull()), F.count_if(known)),
+            E.metric_row("critical_field_exact_match", F.count_if(F.col("matched") & (F.col("toxic") == 0)), F.count_if("matched")),
+            E.metric_row("item_top3_accuracy", F.max(zero), F.max(zero)),
         ],
     )
 
@@ -57,11 +57,6 @@ def eval_topline_ratios(spark, d):
     return _topline(spark, d)
 
 
-@query("A23", None)
-def eval_all_metrics(spark, d):
-    return E.all_metrics(_topline(spark, d), "not measured by this run")
-
-
 @query("A6", f"WITH {_CHECKS} SELECT source AS class, grouping(source) AS is_total, count(*) FILTER (quality = 1) AS numerator, count(*) AS denominator, count(*) FILTER (quality = 1) / count(*)::DOUBLE AS recall FROM checks GROUP BY ROLLUP (source)")
 def eval_per_class_recall(spark, d):
     out = E.per_class_recall(_checks(spark, d), "source", F.coalesce(F.col("quality") == 1, F.lit(False)))

@@ -30,11 +30,38 @@ def test_bins_use_the_same_bounds_as_division(spark):
 
 def test_unavailable_is_not_zero(spark):
     df = spark.createDataFrame([(1, 2)], "n int, d int")
-    m = E.metric_table(df, [E.metric_row("hero_top1", F.sum("n"), F.sum("d")), E.metric_row("item_top1", F.sum("n"), F.sum("d") - 2)])
+    m = E.metric_table(df, [E.metric_row("hero_top1_accuracy", F.sum("n"), F.sum("d")), E.metric_row("item_top1_accuracy", F.sum("n"), F.sum("d") - 2)])
     full = {r["metric"]: r for r in E.all_metrics(m, "no reason").collect()}
-    assert len(full) == len(E.METRICS)
-    assert full["hero_top1"]["value"] == 0.5 and full["item_top1"]["value"] is None and full["item_top1"]["status"] == "unavailable"
-    assert full["brier"]["reason"] == "no reason" and full["hero_top1"]["reason"] is None
+    assert len(full) == len(E.METRICS) == 22
+    assert full["hero_top1_accuracy"]["value"] == 0.5 and full["item_top1_accuracy"]["value"] is None and full["item_top1_accuracy"]["status"] == "unavailable"
+    assert full["memory"]["reason"] == "no reason" and full["hero_top1_accuracy"]["reason"] is None
+
+
+def test_benchmark_of_one_perfect_sample(spark):
+    """One sample read without a fault: every ratio is 1, every error 0."""
+    from tessera.operators import benchmark as B
+
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    order = [F.col("confidence")]
+    heroes = B.hero_checks(one([("shot-1", "ally", 0, None, 17, False, True, "legacy-v1", 3)], "sample_id string, team string, row int, stable_id string, legacy int, unknown boolean, critical boolean, engine_id string, depth int"), one([("shot-1", "ally", 0, "v1-hero-017", "ok", 0.8, ["v1-hero-017", "b", "c"])], "sample_id string, team string, row int, class_id string, status string, confidence double, candidates array<string>"), order)
+    keys = "sample_id string, team string, row int, slot int"
+    items = B.item_checks(
+        one([("shot-1", "ally", 0, 0, None, "Blade of Despair", False, False, "legacy-v1", 1, "occupied"), ("shot-1", "ally", 0, 1, None, None, False, False, "legacy-v1", 1, "empty")], f"{keys}, stable_id string, legacy string, unknown boolean, critical boolean, engine_id string, depth int, occupancy string"),
+        one([("shot-1", "ally", 0, 0, "v1-item:Blade of Despair", "ok", 0.7, ["v1-item:Blade of Despair"], "occupied"), ("shot-1", "ally", 0, 1, None, "empty", None, None, "empty")], f"{keys}, class_id string, status string, confidence double, candidates array<string>, occupancy string"),
+        order,
+    )
+    value = "sample_id string, field string, team string, row int, value_type string, value_str string, value_num double, status string"
+    fields = B.field_checks(one([("shot-1", "battle_id", None, None, "str", "001", None, "ok", None, True), ("shot-1", "kills", "ally", 0, "int", None, 0.0, "ok", None, False)], f"{value}, raw string, critical boolean"), one([("shot-1", "battle_id", None, None, "str", "001", None, "ok", 0.9), ("shot-1", "kills", "ally", 0, "int", None, 0.0, "ok", 0.9)], f"{value}, confidence double"), order)
+    geometry = one([("shot-1", True, 0.0, 2)], "sample_id string, correct boolean, edge_error double, edges int")
+    samples = one([("shot-1", "{}", "{}", 100.0, 50.0)], "sample_id string, expected_json string, predicted_json string, latency_ms double, peak_memory_mib double")
+    got = {(r["metric"], r["part"]): r for r in B.benchmark(geometry, heroes, items, fields, samples, {"all": F.lit("x")}).collect()}
+    for name in ("geometry_success", "hero_top1_accuracy", "hero_top3_accuracy", "item_top1_accuracy", "item_occupancy_accuracy", "ocr_exact_sequence_accuracy", "numeric_exact_value_accuracy", "full_json_exact_match", "critical_field_exact_match", "hero_per_class_recall"):
+        assert got[name, None]["value"] == 1.0, name
+    for name in ("normalized_coordinate_error", "ocr_character_error_rate", "unknown_false_reject_rate"):
+        assert got[name, None]["value"] == 0.0, name
+    assert got["latency", "mean_ms"]["value"] == got["latency", "p95_ms"]["value"] == 100.0 and got["memory", "max_peak_mib"]["value"] == 50.0
+    assert got["item_top3_accuracy", None]["status"] == got["unknown_false_accept_rate", None]["status"] == "unavailable"
+    assert got["zero_missing_confusion", "true_zero_predicted_missing"]["value"] == 0.0 and {m for m, _ in got} == set(E.METRICS)
 
 
 def test_typed_equality(spark):
