@@ -14,7 +14,7 @@ from tessera.llm.html_extract import extract_text
 from tessera.llm.langid import identify
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import score_quality
-from tessera.llm.sharding import feistel_shards
+from tessera.llm.sharding import feistel_shards, round_keys
 from tessera.llm.simhash import near_groups
 from tessera.llm.sstable import encode_to_shards
 from tessera.llm.toxicity import toxicity
@@ -87,9 +87,35 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM d LEFT JOIN marks ON marks.doc_id = d.doc_id LEFT JOIN found ON found.doc_id = d.doc_id"""
 
 
+
+def _feistel_sql(source: str, seed: int = 20) -> str:
+    """One pass of the permutation over rows (r, n, b, x) of source, 128-bit products cut to 64 bits."""
+    two = "18446744073709551616::UHUGEINT"
+    sql = f"SELECT r, n, b, x >> b AS l, x & ((1::UBIGINT << b) - 1) AS q FROM {source}"
+    for key in round_keys(seed):
+        mixed = f"(((q::UHUGEINT + {key}::UHUGEINT) % {two}) * 18397679294719823053::UHUGEINT % {two})::UBIGINT"
+        sql = f"SELECT r, n, b, l, q, {mixed} AS m FROM ({sql})"
+        sql = f"SELECT r, n, b, l, q, (xor(m, m >> 33)::UHUGEINT * 14181476777654086739::UHUGEINT % {two})::UBIGINT AS m FROM ({sql})"
+        sql = f"SELECT r, n, b, q AS l, xor(l, xor(m, m >> 29)) & ((1::UBIGINT << b) - 1) AS q FROM ({sql})"
+    return f"SELECT r, n, b, (l << b) | q AS x FROM ({sql})"
+
+
+#: Rows numbered by doc_id, size and checksum (CRC-32 bit by bit), walked through the
+#: permutation until they fall inside, and dealt by arithmetic.
+_OP4 = f"""
+WITH RECURSIVE t AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+c AS (SELECT doc_id, octet_length(raw) + 1 AS size, xor(list_reduce(list_transform(range(1, octet_length(raw) + 1), lambda i: ('0x' || hex(raw[i:i]))::UBIGINT),
+  lambda a, y: xor(a >> 8, list_reduce(range(0, 8), lambda p, k: xor(p >> 1, 3988292384::UBIGINT * (p & 1)), xor(a, y) & 255)), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM t),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS r FROM c),
+z AS (SELECT count(*) AS n, (SELECT min(k) FROM range(1, 32) g(k) WHERE 4::HUGEINT ** k >= (SELECT count(*) FROM documents)) AS b FROM documents),
+h AS (SELECT r, n, b::UBIGINT AS b, r::UBIGINT AS x FROM o, z),
+w AS ({_feistel_sql("h")} UNION ALL {_feistel_sql("(SELECT * FROM w WHERE x >= n)")})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (x % 8)::INT AS shard, (x // 8)::BIGINT AS slot, NULL::INT AS grown_shard FROM o JOIN w ON w.r = o.r AND w.x < w.n"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": _OP3, "op6_exact_dedup": _OP6}
+    return {"op3_decontamination": _OP3, "op4_sharding": _OP4, "op6_exact_dedup": _OP6}
