@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import hamming64
-from tessera.functions.text import stable_id
+from tessera.functions.text import holds_secret, normalize_label, stable_id
 from tessera.operators.numbering import number_rows
+from tessera.operators.rules import PLACEHOLDERS
 
 #: Labels that are no item slots (fixed values; compared after label normalisation).
 NON_SLOT_LABELS = (
@@ -214,3 +215,57 @@ def missing_island(ids: DataFrame, key: str, limit: int = 20) -> DataFrame:
     blocks = ids.where(F.col(key).isNotNull()).groupBy(F.floor(F.col(key) / limit).alias("_b")).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
     after = blocks.select((F.col("_b") - 1).alias("_b"), F.col("_first").alias("_next"))
     return blocks.join(after, "_b", "left").where((F.col("_next") - F.col("_last") > limit) | F.col("_next").isNull()).agg(F.min("_last").alias("stops_after"))
+
+
+#: Codes of an audit by severity.
+MANDATORY_CODES = ("placeholder_record", "unreviewed_class", "unreviewed_visual", "unverified_provenance", "missing_or_invalid_asset", "sha256_mismatch", "phash_mismatch", "dimension_mismatch", "mime_mismatch", "conflicting_normalized_label", "exact_duplicate", "secret_pattern")
+WARNING_CODES = ("unexpected_aspect_ratio", "near_duplicate")
+
+
+def audit_catalog(entities: DataFrame, visuals: DataFrame, assets: DataFrame, manifest: DataFrame) -> DataFrame:
+    """All issues of a catalog snapshot (C6): severity, code, class_id, visual_id, related.
+
+    entities: id, kind, canonical_name, review_status; visuals: id, entity_id, asset_path,
+    review_status, provenance_status, sha256, phash, width, height, mime_type; assets: what
+    the files hold now (asset_path, sha256, phash, width, height, mime_type; null sha256:
+    not an image); manifest: text, lines of the snapshot's file.
+
+    Mismatches come from one join of visuals with files, labels and digests from one
+    grouping each, near duplicates from the banded join; related ids are joined in order.
+    """
+    none = F.lit(None).cast("string")
+
+    def issue(rows: DataFrame, code: str, class_id: Column = none, visual: Column = none, related: Column = none) -> DataFrame:
+        severity = "mandatory" if code in MANDATORY_CODES else "warning"
+        return rows.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), class_id.cast("string").alias("class_id"), visual.cast("string").alias("visual_id"), related.cast("string").alias("related"))
+
+    label = normalize_label(F.col("canonical_name"))
+    named = entities.withColumn("_label", label)
+    now = assets.select("asset_path", *[F.col(c).alias(f"_{c}") for c in ("sha256", "phash", "width", "height", "mime_type")])
+    both = visuals.join(now, "asset_path", "left")
+    bad = F.col("_sha256").isNull()
+    ratio = F.col("_width") / F.col("_height")
+    tests = F.array(*[F.when(test, code) for code, test in (
+        ("unreviewed_visual", F.col("review_status") != "approved"), ("unverified_provenance", F.col("provenance_status") != "verified"), ("missing_or_invalid_asset", bad),
+        ("sha256_mismatch", F.col("sha256") != F.col("_sha256")), ("phash_mismatch", ~bad & (F.col("phash") != F.col("_phash"))),
+        ("dimension_mismatch", ~bad & ((F.col("width") != F.col("_width")) | (F.col("height") != F.col("_height")))), ("mime_mismatch", ~bad & (F.col("mime_type") != F.col("_mime_type"))), ("unexpected_aspect_ratio", ~bad & ((ratio < 0.5) | (ratio > 2.0))),
+    )])
+    faults = both.select("entity_id", "id", F.explode(F.array_compact(tests)).alias("code"))
+    faults = faults.select(F.when(F.col("code").isin(*WARNING_CODES), "warning").otherwise("mandatory").alias("severity"), "code", F.col("entity_id").cast("string").alias("class_id"), F.col("id").cast("string").alias("visual_id"), none.alias("related"))
+    good = both.where(~bad).select("entity_id", "id", F.col("_sha256").alias("sha"), F.col("_phash").alias("bits"))
+    ids = lambda c: F.array_join(F.array_sort(F.collect_list(F.col(c).cast("string"))), ",")
+    clash = named.where("_label <> ''").groupBy("kind", "_label").agg(F.count("*").alias("n"), ids("id").alias("ids")).where("n > 1")
+    same = good.groupBy("sha").agg(F.countDistinct("entity_id").alias("n"), ids("id").alias("ids")).where("n > 1")
+    classes = good.select(F.col("id").alias("_vid"), "entity_id")
+    pairs = near_duplicates(good, "id", "bits", 4, "sha")
+    left, right = pairs.columns[:2]
+    pairs = pairs.join(classes.withColumnRenamed("entity_id", "_ca"), F.col(left) == F.col("_vid")).drop("_vid").join(classes.withColumnRenamed("entity_id", "_cb"), F.col(right) == F.col("_vid")).where("_ca <> _cb")
+    secret = manifest.where(holds_secret(F.col("text"))).limit(1)
+    found = [
+        issue(named.where(F.col("_label").isin(*PLACEHOLDERS)), "placeholder_record", F.col("id")), issue(named.where("review_status <> 'approved'"), "unreviewed_class", F.col("id")),
+        issue(clash, "conflicting_normalized_label", related=F.col("ids")), issue(same, "exact_duplicate", related=F.col("ids")),
+        issue(pairs, "near_duplicate", related=F.array_join(F.array_sort(F.array(F.col(left).cast("string"), F.col(right).cast("string"))), ",")), issue(secret, "secret_pattern"),
+    ]
+    for one in found:
+        faults = faults.unionByName(one)
+    return faults

@@ -156,3 +156,28 @@ def catalog_aliases(spark, d):
 @query("C12", "SELECT min(o_custkey) AS stops_after FROM (SELECT o_custkey, lead(o_custkey) OVER (ORDER BY o_custkey) AS nxt FROM (SELECT DISTINCT o_custkey FROM orders)) WHERE nxt - o_custkey > 3 OR nxt IS NULL")
 def catalog_missing_island(spark, d):
     return C.missing_island(table(spark, d, "orders"), "o_custkey", 3)
+
+
+_PARTS = """e AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'hero' ELSE 'item' END AS kind, CASE WHEN p_partkey % 50 = 0 THEN 'TODO!' WHEN p_partkey % 41 = 0 THEN 'Same ' || p_brand ELSE p_name || ' ' || p_partkey END AS nm, p_size > 5 AS ok FROM part),
+v AS (SELECT p_partkey AS id, p_partkey AS c, p_size % 10 <> 0 AS ok, p_size % 8 <> 0 AS prov, 'a' || (p_partkey // 3) AS sha, xor((p_partkey // 4) * 2654435761, p_partkey % 4) AS ph, p_size + 16 AS w FROM part),
+f AS (SELECT id, CASE WHEN id % 30 <> 0 THEN CASE WHEN id % 31 = 0 THEN 'other' ELSE sha END END AS sha, ph + CASE WHEN id % 37 = 0 THEN 1 ELSE 0 END AS ph, w + CASE WHEN id % 43 = 0 THEN 1 ELSE 0 END AS w, CASE WHEN id % 47 = 0 THEN 'image/gif' ELSE 'image/png' END AS mime FROM v WHERE id % 29 <> 0),
+j AS (SELECT v.id, v.c, v.ok, v.prov, v.sha, v.ph, v.w, f.sha AS s2, f.ph AS p2, f.w AS w2, f.mime FROM v LEFT JOIN f ON f.id = v.id), g AS (SELECT * FROM j WHERE s2 IS NOT NULL)"""
+
+
+@query("C6", f"""WITH {_PARTS}
+SELECT 'mandatory' AS severity, 'placeholder_record' AS code, id::VARCHAR AS class_id, NULL::VARCHAR AS visual_id, NULL::VARCHAR AS related FROM e WHERE nm = 'TODO!' UNION ALL SELECT 'mandatory', 'unreviewed_class', id::VARCHAR, NULL, NULL FROM e WHERE NOT ok
+UNION ALL SELECT 'mandatory', 'unreviewed_visual', c::VARCHAR, id::VARCHAR, NULL FROM j WHERE NOT ok UNION ALL SELECT 'mandatory', 'unverified_provenance', c::VARCHAR, id::VARCHAR, NULL FROM j WHERE NOT prov UNION ALL SELECT 'mandatory', 'missing_or_invalid_asset', c::VARCHAR, id::VARCHAR, NULL FROM j WHERE s2 IS NULL
+UNION ALL SELECT 'mandatory', 'sha256_mismatch', c::VARCHAR, id::VARCHAR, NULL FROM g WHERE sha <> s2 UNION ALL SELECT 'mandatory', 'phash_mismatch', c::VARCHAR, id::VARCHAR, NULL FROM g WHERE ph <> p2 UNION ALL SELECT 'mandatory', 'dimension_mismatch', c::VARCHAR, id::VARCHAR, NULL FROM g WHERE w <> w2
+UNION ALL SELECT 'mandatory', 'mime_mismatch', c::VARCHAR, id::VARCHAR, NULL FROM g WHERE mime <> 'image/png' UNION ALL SELECT 'warning', 'unexpected_aspect_ratio', c::VARCHAR, id::VARCHAR, NULL FROM g WHERE w2 / 32.0 < 0.5 OR w2 / 32.0 > 2.0
+UNION ALL SELECT 'mandatory', 'conflicting_normalized_label', NULL, NULL, string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR) FROM e GROUP BY kind, trim(regexp_replace(lower(nm), '[^a-z0-9_]+', ' ', 'g')) HAVING count(*) > 1
+UNION ALL SELECT 'mandatory', 'exact_duplicate', NULL, NULL, string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR) FROM g GROUP BY s2 HAVING count(DISTINCT c) > 1
+UNION ALL SELECT 'warning', 'near_duplicate', NULL, NULL, least(a.id::VARCHAR, b.id::VARCHAR) || ',' || greatest(a.id::VARCHAR, b.id::VARCHAR) FROM g a, g b WHERE a.id < b.id AND a.s2 <> b.s2 AND a.c <> b.c AND bit_count(xor(a.p2, b.p2)) <= 4
+UNION ALL SELECT 'mandatory', 'secret_pattern', NULL, NULL, NULL WHERE (SELECT bool_or(regexp_matches(text, '(?i)(authorization|cookie|api[_-]?key|access[_-]?token)\\s*[:=]\\s*[''"]?[A-Za-z0-9+/=_-]{{12,}}') OR regexp_matches(text, '(?i)bearer\\s+[A-Za-z0-9._~+/=-]{{12,}}')) FROM documents)""")
+def catalog_audit_all(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    entities = p.select(k.alias("id"), F.when(k % 2 == 0, "hero").otherwise("item").alias("kind"), F.when(k % 50 == 0, "TODO!").when(k % 41 == 0, F.concat(F.lit("Same "), "p_brand")).otherwise(F.concat("p_name", F.lit(" "), k)).alias("canonical_name"), F.when(F.col("p_size") > 5, "approved").otherwise("pending").alias("review_status"))
+    bits = (F.floor(k / 4) * F.lit(2654435761)).bitwiseXOR(k % 4)
+    visuals = p.select(k.alias("id"), k.alias("entity_id"), k.alias("asset_path"), F.when(F.col("p_size") % 10 != 0, "approved").otherwise("pending").alias("review_status"), F.when(F.col("p_size") % 8 != 0, "verified").otherwise("claimed").alias("provenance_status"), F.concat(F.lit("a"), F.floor(k / 3)).alias("sha256"), bits.alias("phash"), (F.col("p_size") + 16).alias("width"), F.lit(32).alias("height"), F.lit("image/png").alias("mime_type"))
+    i = F.col("id")
+    assets = visuals.where("id % 29 <> 0").select("asset_path", F.when(i % 30 == 0, F.lit(None)).when(i % 31 == 0, "other").otherwise(F.col("sha256")).alias("sha256"), (F.col("phash") + (i % 37 == 0).cast("int")).alias("phash"), (F.col("width") + (i % 43 == 0).cast("int")).alias("width"), "height", F.when(i % 47 == 0, "image/gif").otherwise("image/png").alias("mime_type"))
+    return C.audit_catalog(entities, visuals, assets, table(spark, d, "documents").select("text"))
