@@ -16,7 +16,8 @@ A shard file is: data blocks, block index, Bloom filter, footer.
   of documents and tokens, a version and a magic number.
 
 A point lookup reads the footer, asks the filter, finds the block by binary search in
-the index and scans that block alone.
+the index and scans that block alone, each by a read of its own range of the file; over
+a table of shards the manifest's first and last keys say which files can hold a key.
 
 Files go to a shared folder through ``pyarrow.fs`` (file, hdfs, s3, gs addresses) under
 names that no other attempt of the task uses; only those named in the committed
@@ -94,6 +95,10 @@ class ShardWriter:
         self._before = (0, 0)
         self._zstd = zstandard.ZstdCompressor(level=1)
 
+    @property
+    def first_key(self) -> bytes:
+        return self.keys[0]
+
     def __len__(self) -> int:
         return len(self.out) + len(self.block)
 
@@ -143,21 +148,28 @@ class ShardWriter:
 
 
 class Shard:
-    """Reads one shard's bytes: point lookups and scans."""
+    """Reads one shard, given as bytes or as an open file: point lookups and scans."""
 
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        index_at, index_size, bloom_at, bloom_size, self.documents, self.tokens, version, magic = FOOTER.unpack(self.data[-FOOTER.size :])
+    def __init__(self, data: bytes | pa.NativeFile):
+        if isinstance(data, bytes):
+            data = pa.BufferReader(data)
+        self.file, end = data, data.size()
+        index_at, index_size, bloom_at, bloom_size, self.documents, self.tokens, version, magic = FOOTER.unpack(self.read(end - FOOTER.size, FOOTER.size))
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token shard of this version")
-        self.index, at, raw = [], 0, bytes(self.data[index_at : index_at + index_size])
+        self.index, at, raw = [], 0, self.read(index_at, index_size)
         while at < len(raw):
             n, at = get_varint(raw, at)
             self.index.append((raw[at : at + n], *struct.unpack_from("<QQIQQ", raw, at + n)))
             at += n + 36
         self.firsts = [x[0] for x in self.index]
-        self.bits = struct.unpack_from("<Q", self.data, bloom_at)[0]
-        self.bloom = self.data[bloom_at + 8 : bloom_at + bloom_size]
+        bloom = self.read(bloom_at, bloom_size)
+        self.bits, self.bloom = struct.unpack_from("<Q", bloom)[0], bloom[8:]
+
+    def read(self, at: int, size: int) -> bytes:
+        """A range of the file."""
+        self.file.seek(at)
+        return self.file.read(size)
 
     def may_hold(self, key: bytes) -> bool:
         return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.bits))
@@ -165,7 +177,7 @@ class Shard:
     def block(self, i: int):
         """(key, tokens before it in the shard, ids as little-endian 32-bit) of each entry."""
         _, offset, size, crc, _, start = self.index[i]
-        stored = bytes(self.data[offset : offset + size])
+        stored = self.read(offset, size)
         if zlib.crc32(stored) != crc:
             raise ValueError(f"block {i} is damaged")
         raw = zstandard.ZstdDecompressor().decompress(stored)
@@ -199,7 +211,8 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, vocabulary: str | None = None, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes the shards; gives the manifest: part, seq, path, documents, tokens, base (tokens before)."""
+    """Writes the shards; gives the manifest: part, seq, path, documents, tokens, first_key,
+    last_key, base (tokens before)."""
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
     prepare(spark)
     scratch = Scratch(spark, "shards")
@@ -217,7 +230,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, block_bytes: in
             fs.create_dir(root, recursive=True)
             with fs.open_output_stream(f"{root}/{name}") as f:
                 f.write(writer.finish())
-            row = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "name": [name], "documents": [writer.documents], "tokens": [writer.tokens]})
+            row = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "name": [name], "documents": [writer.documents], "tokens": [writer.tokens], "first_key": [writer.first_key], "last_key": [writer.keys[-1]]})
             seq, writer = seq + 1, ShardWriter(block_bytes)
             return row.cast(out)
 
@@ -231,12 +244,12 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, block_bytes: in
         if writer.documents:
             yield close()
 
-    out = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
+    out = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())])
     ordered = need(docs, "doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    manifest = scratch.save(ordered.mapInArrow(run, "part int, seq int, name string, documents long, tokens long"), "manifest")
+    manifest = scratch.save(ordered.mapInArrow(run, "part int, seq int, name string, documents long, tokens long, first_key binary, last_key binary"), "manifest")
     # One row a shard, so a window over all of them is small.
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.select("part", "seq", "name", F.concat(F.lit(folder + "/"), "name").alias("path"), "documents", "tokens", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    return manifest.select("part", "seq", "name", F.concat(F.lit(folder + "/"), "name").alias("path"), "documents", "tokens", "first_key", "last_key", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
 
 
 def read_shards(spark, manifest: DataFrame) -> DataFrame:
@@ -261,6 +274,18 @@ def read_shards(spark, manifest: DataFrame) -> DataFrame:
     return rows.join(manifest.select("name", "base"), "name").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def lookup(manifest: DataFrame, doc_id: int | None) -> list[bytes]:
+    """The ids of every entry under doc_id, from the shards that can hold it (one, but for
+    repeated ids), a few ranges of each."""
+    key = F.lit(bytearray(key_of(doc_id)))
+    found = []
+    for r in manifest.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("part", "seq").select("path").collect():
+        fs, path = pa.fs.FileSystem.from_uri(r["path"])
+        with fs.open_input_file(path) as f:
+            found += Shard(f).get(doc_id)
+    return found
+
+
 def encode_to_shards(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Writes every document's ids to shards and reads the files back."""
     return read_shards(docs.sparkSession, write_shards(docs, vocabulary))

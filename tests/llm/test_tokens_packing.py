@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tessera.llm.packing import best_fit_decreasing, lower_bound, pack, pack_documents
-from tessera.llm.sstable import Shard, ShardWriter, encode_to_shards, id_of, key_of, read_shards, write_shards
+from tessera.llm.sstable import Shard, ShardWriter, encode_to_shards, id_of, key_of, lookup, read_shards, write_shards
 from tessera.llm.tokens import END_ID, Encoder, default_vocabulary
 from tests.llm.helpers import AWKWARD, CLASHING, docs_frame, random_texts
 
@@ -50,6 +50,9 @@ def test_shards_round_trip(spark, whole):
         for k in keys:
             assert shard.get(k) == [raw(whole[k])]
         assert shard.get(10**9) == []
+    for i in (0, 7, len(TEXTS) - 1):
+        assert lookup(manifest, i) == [raw(whole[i])]
+    assert lookup(manifest, 10**9) == [] and lookup(manifest, None) == []
 
 
 def test_shard_keys_and_repeats():
