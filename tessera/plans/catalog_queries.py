@@ -120,10 +120,10 @@ def dup_exact_groups(spark, d):
     return C.exact_duplicates(table(spark, d, "documents").withColumn("sha", F.sha2("text", 256)), "doc_id", "sha", "source")
 
 
-_SIGNS = "h AS (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] >= 0 THEN (1::UBIGINT << i::UBIGINT)::HUGEINT ELSE 0 END))::UBIGINT AS x FROM embeddings)"
+_SIGNS = "h AS (SELECT vec_id, embedding AS v, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] >= 0 THEN (1::UBIGINT << i::UBIGINT)::HUGEINT ELSE 0 END))::UBIGINT AS x FROM embeddings)"
 
 
-@query("J7 F23", f"WITH {_SIGNS} SELECT a.vec_id AS left_id, b.vec_id AS right_id, bit_count(xor(a.x, b.x))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND a.x <> b.x AND bit_count(xor(a.x, b.x)) <= 16")
+@query("J7 F23", f"WITH {_SIGNS} SELECT a.vec_id AS left_id, b.vec_id AS right_id, bit_count(xor(a.x, b.x))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND a.v <> b.v AND bit_count(xor(a.x, b.x)) <= 16")
 def dup_near_pairs(spark, d):
     bits = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.when(F.element_at("embedding", i + 1) >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
     sha = F.sha2(F.coalesce(F.col("embedding").cast("string"), F.lit("")), 256)
