@@ -9,7 +9,8 @@ scored, and the text's score is that of its highest window.
 Training is plain numpy with Adam on a bounded sample of labelled texts: of each class
 the ``sample`` texts of the least hash, as far as ``sample_bytes`` go (documented
 bounds, which hold for any table; a repeated text counts once): a text's loss is taken
-at its highest window.  The classes are balanced in the
+at its highest window.  One task trains, so neither texts nor training are the driver's:
+the parameters, 3 MB whatever the table, are what reaches it.  The classes are balanced in the
 sample, and the output is moved back to the share of toxic texts among all labels.
 
 Scoring is one pass over whole texts without a shuffle.  A worker keeps a bounded
@@ -365,16 +366,30 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     scratch = Scratch(docs.sparkSession, "toxicity")
     chosen = scratch.save(_sample(docs, marks, sample, sample_bytes), "sample")
     rows = need(docs, "doc_id", "text").where("doc_id is not null and text is not null").withColumn("hash", F.xxhash64("text"))
-    got = rows.join(F.broadcast(chosen), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "y"]).select("doc_id", "text", "y").collect()
+    got = rows.join(F.broadcast(chosen), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash", "y"]).select("doc_id", "text", "y")
+
+    def fit(batches):
+        """One task holds the bounded sample and gives the parameters; a lost one is run again."""
+        held = []
+        for b in batches:
+            held += zip(b.column("doc_id").to_pylist(), texts_of(b.column("text")), b.column("y").to_pylist(), strict=True)
+        held.sort()
+        y = np.array([y for _, _, y in held], np.float32)
+        texts = [t for _, t, _ in held]
+        del held
+        if len(y) and 0 < y.mean() < 1:
+            p = train(texts, y).p
+            yield pa.RecordBatch.from_arrays([pa.array([float(y.mean())]), *[pa.array([v.astype(np.float32).tobytes()], pa.binary()) for v in p.values()]], ["share", *p])
+
+    shapes = {k: v.shape for k, v in Network().p.items()}
+    found = got.repartition(1).mapInArrow(fit, "share double, " + ", ".join(f"`{k}` binary" for k in shapes)).collect()
     scratch.drop("sample")
-    got.sort(key=lambda r: (r["doc_id"], r["text"], r["y"]))
-    y = np.array([r["y"] for r in got], np.float32)
-    if not len(y) or not 0 < y.mean() < 1:
+    if not found:
         return pos / (pos + neg)
-    texts = [r["text"].encode("utf-8") for r in got]
-    del got
-    net = train(texts, y)
-    return Scorer(net, float(np.log(pos / neg) - np.log(y.mean() / (1 - y.mean()))))
+    net = Network.__new__(Network)
+    net.p = {k: np.frombuffer(found[0][k], np.float32).reshape(shape) for k, shape in shapes.items()}
+    share = found[0]["share"]
+    return Scorer(net, float(np.log(pos / neg) - np.log(share / (1 - share))))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learn_from: DataFrame | None = None) -> tuple[DataFrame, str]:
