@@ -58,6 +58,12 @@ def write_atomic(spark: SparkSession, path: str, data: bytes, overwrite: bool =
         raise
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder, if it is there."""
+    fs, where = _file(spark, path)
+    fs.delete(where, True)
+
+
 def empty_files(spark: SparkSession, pattern: str) -> list[str]:
     """Files without a byte under a path or glob: Spark's own listing leaves them out."""
     fs, where = _file(spark, pattern)

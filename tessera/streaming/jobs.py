@@ -17,8 +17,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.operators.catalog import latest
-from tessera.session import scratch_root, ship_package
 from tessera.operators.evaluation import null_safe_join
+from tessera.session import scratch_root, ship_package
+from tessera.sources import store
 
 OUTPUT = "content_key string, event_id long, outcome string, job_id long"
 
@@ -78,6 +79,8 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFram
     finally:
         if before:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        else:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
@@ -85,7 +88,8 @@ def materialise_ledger(stream: DataFrame, path: str, checkpoint: str, keys: Sequ
     """A stream of actions kept as the latest action of each key, versioned by batch (T5).
 
     Each batch merges into the table the batch before it wrote and writes a new version,
-    so a batch that runs twice writes the same version twice.
+    so a batch that runs twice writes the same version twice.  Of versions the last two
+    stay: a batch that runs again needs the one before it.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -94,6 +98,8 @@ def materialise_ledger(stream: DataFrame, path: str, checkpoint: str, keys: Sequ
         if number:
             whole = spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}").unionByName(batch)
         latest(whole, keys, sequence).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/version={number}")
+        if number > 1:
+            store.delete(spark, f"{path}/version={number - 2}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

@@ -169,3 +169,19 @@ def test_ledger_view_and_windows(spark, tmp_path):
     assert {r["content_key"]: r["event"] for r in got} == {"a": "y", "b": "x"}
     w = J.event_windows(df.withColumnRenamed("event", "event_type"), "1 minute", "1 minute").collect()
     assert sum(r["n"] for r in w) == 3
+
+
+def test_renames_over_and_refuses(spark, tmp_path):
+    path = f"{tmp_path}/new/a.json"
+    store.write_atomic(spark, path, b"one")
+    store.write_atomic(spark, path, b"two")
+    assert store.read_bytes(spark, path, 10) == b"two"
+    with pytest.raises(FileExistsError):
+        store.write_atomic(spark, path, b"three", overwrite=False)
+    assert store.read_bytes(spark, path, 10) == b"two" and not list((tmp_path / "new").glob("*.tmp"))
+
+
+def test_memo_keeps_null_keys(spark):
+    df = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "id int, k string")
+    got = J.once_per_key(df, ["k"], lambda x: x.withColumn("v", F.coalesce("k", F.lit("none")))).collect()
+    assert {r["id"]: r["v"] for r in got} == {1: "none", 2: "a", 3: "none"}
