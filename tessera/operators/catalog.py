@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import hamming64
 from tessera.functions.text import holds_secret, normalize_label, stable_id
-from tessera.operators.numbering import number_rows
+from tessera.operators.numbering import number_rows, saved
 from tessera.operators.rules import PLACEHOLDERS
 
 #: Labels that are no item slots (fixed values; compared after label normalisation).
@@ -84,39 +86,76 @@ def exact_duplicates(df: DataFrame, key: str, digest: str, group: str) -> DataFr
     return df.groupBy(digest).agg(F.count("*").alias("members"), F.countDistinct(group).alias("classes"), F.min(key).alias("first_member")).where("classes > 1")
 
 
+#: A row sent to a join costs as much as so many pairs that are compared there; choices of blocks at most.
+ROW_COST, CHOICES = 20, 256
+
+
+def agreement_blocks(n: int, ones: Sequence[int], distance: int) -> list[int]:
+    """The 64 bits as masks of blocks, of which pairs within the distance differ in ``distance`` at most.
+
+    n hashes, of which ones[k] have bit k.  A bit counts by how seldom two hashes differ in
+    it, and the blocks get equal shares of all bits' weight.  More blocks make more choices of
+    those that agree, of more bits each: their number is the one with the least work.
+    """
+    weight = [-math.log2((c / n) ** 2 + (1 - c / n) ** 2) if n else 1.0 for c in ones]
+    work = {}
+    for blocks in range(distance + 1, 31):
+        choices = math.comb(blocks, distance)
+        if choices <= max(CHOICES, distance + 1):
+            work[blocks] = choices * n * (ROW_COST + n / 2 / 2 ** (sum(weight) * (blocks - distance) / blocks))
+    held = [[0.0, 0, k] for k in range(min(work, key=lambda k: (work[k], k)))]  # weight, mask, block
+    for k in sorted(range(64), key=lambda k: -weight[k]):
+        least = min(held, key=lambda h: (h[0], h[1].bit_count(), h[2]))
+        least[0] += weight[k]
+        least[1] |= 1 << k
+    return [mask for _, mask, _ in held]
+
+
+def near_hashes(hashes: DataFrame, distance: int) -> DataFrame:
+    """_l, _r, distance: each pair of the distinct 64-bit hashes _x (a saved table) that differ
+    in at most ``distance`` bits, once, _l being the less.
+
+    The bits are cut into B blocks (``agreement_blocks``); a pair within the distance agrees
+    on B - distance of them at least (pigeonhole), so an equi-join on (choice of so many
+    blocks, their bits) finds every pair, and the distance is verified.  A pair is given by
+    its first choice only: the blocks it agrees on up to the choice's last are the choice.
+    """
+    long = lambda mask: F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
+    count = hashes.agg(F.count("*"), *[F.sum(F.shiftrightunsigned("_x", k).bitwiseAND(F.lit(1).cast("long"))) for k in range(64)]).first()
+    masks = agreement_blocks(count[0], [c or 0 for c in count[1:]], distance)
+    choices = [(sum(1 << j for j in c), sum(masks[j] for j in c)) for c in combinations(range(len(masks)), len(masks) - distance)]
+    cut = F.explode(F.array(*[F.struct(F.lit(c).alias("choice"), F.col("_x").bitwiseAND(long(m)).alias("value")) for c, m in choices]))
+    rows = hashes.select("_x", cut.alias("_b")).select("_x", "_b.*")
+    pairs = rows.withColumnRenamed("_x", "_l").join(rows.withColumnRenamed("_x", "_r"), ["choice", "value"])
+    differ = F.col("_l").bitwiseXOR(F.col("_r"))
+    agreed = F.lit(0)
+    for j, m in enumerate(masks):
+        agreed = agreed + F.when(differ.bitwiseAND(long(m)) == 0, 1 << j).otherwise(0)
+    rest = agreed.bitwiseXOR(F.col("choice"))
+    first = (rest == 0) | (rest.bitwiseAND(-rest) > F.col("choice"))
+    return pairs.where((F.col("_l") < F.col("_r")) & (hamming64(F.col("_l"), F.col("_r")) <= distance) & first).select("_l", "_r", hamming64(F.col("_l"), F.col("_r")).alias("distance"))
+
+
 def near_duplicates(df: DataFrame, key: str, bits: str, distance: int = 4, content: str | None = None) -> DataFrame:
     """Pairs of rows of different content whose 64-bit hashes differ in at most ``distance`` bits.
 
     Content is the column ``content``, equal hashes of different content being pairs of
-    distance 0, or else the hash.  Rows of one hash and content are joined once, as a
-    class, and its pairs are given for each of them.
-
-    The hash is cut into distance + 1 bands; a pair within the distance agrees on one
-    of them (pigeonhole), so an equi-join on (band, value) finds every pair, and the
-    distance is verified.  A pair is given by its first shared band only.
+    distance 0, or else the hash.  Distinct hashes are compared once (``near_hashes``); rows
+    of one hash and content are a class, and the pairs of classes are given for each of them.
     """
-    bands = distance + 1
-    edges = [64 * k // bands for k in range(bands + 1)]
-
-    def band(x: Column, k: int) -> Column:
-        width = edges[k + 1] - edges[k]
-        return F.shiftrightunsigned(x, edges[k]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-
-    cut = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), band(F.col("_x"), k).alias("value")) for k in range(bands)]))
-    own = df.where(F.col(bits).isNotNull()).select(F.col(key).alias("_id"), F.col(bits).alias("_x"), F.col(content or bits).alias("_s"))
-    classes = own.groupBy("_x", "_s").agg(F.min("_id").alias("_c"))
-    rows = classes.select("_c", "_x", "_s", cut.alias("_b")).select("_c", "_x", "_s", "_b.*")
-    left = rows.select(F.col("_c").alias("_lc"), F.col("_x").alias("_l"), F.col("_s").alias("_ls"), "band", "value")
-    right = rows.select(F.col("_c").alias("_rc"), F.col("_x").alias("_r"), F.col("_s").alias("_rs"), "band", "value")
-    pairs = left.join(right, ["band", "value"]).where("_lc < _rc").withColumn("distance", hamming64(F.col("_l"), F.col("_r"))).where((F.col("distance") <= distance) & ~F.col("_ls").eqNullSafe(F.col("_rs")))
-    earlier = F.lit(False)
-    for k in range(bands - 1):
-        earlier = earlier | ((F.col("band") > k) & (band(F.col("_l"), k) == band(F.col("_r"), k)))
-    named = classes.select(F.col("_x").alias("_cx"), F.col("_s").alias("_cs"), "_c")
-    members = own.join(named, (F.col("_x") == F.col("_cx")) & F.col("_s").eqNullSafe(F.col("_cs"))).select("_c", "_id")
-    found = pairs.where(~earlier).select("_lc", "_rc", "distance")
-    found = found.join(members.select(F.col("_c").alias("_lc"), F.col("_id").alias("_a")), "_lc").join(members.select(F.col("_c").alias("_rc"), F.col("_id").alias("_z")), "_rc")
-    return found.where("_a <> _z").select(F.least("_a", "_z").alias("left_id"), F.greatest("_a", "_z").alias("right_id"), "distance")
+    own = saved(df.where(F.col(bits).isNotNull()).select(F.col(key).alias("_id"), F.col(bits).cast("long").alias("_x"), F.col(content or bits).alias("_s")), "near")
+    hashes = saved(own.select("_x").distinct(), "hashes")
+    links = near_hashes(hashes, distance)
+    if content:
+        links = links.unionByName(hashes.select(F.col("_x").alias("_l"), F.col("_x").alias("_r"), F.lit(0).alias("distance")))
+    classes = own.select("_x", "_s").distinct()
+    left, right = classes.select(F.col("_x").alias("_l"), F.col("_s").alias("_ls")), classes.select(F.col("_x").alias("_r"), F.col("_s").alias("_rs"))
+    pairs = links.join(left, "_l").join(right, "_r").where(~F.col("_ls").eqNullSafe(F.col("_rs")))
+    pairs = pairs.where((F.col("_l") < F.col("_r")) | (F.col("_ls").isNull() & F.col("_rs").isNotNull()) | (F.col("_ls") < F.col("_rs")))
+    for side, of, member in (("_l", "_ls", "_a"), ("_r", "_rs", "_z")):
+        members = own.select(F.col("_id").alias(member), F.col("_x").alias("_mx"), F.col("_s").alias("_ms"))
+        pairs = pairs.join(members, (F.col(side) == F.col("_mx")) & F.col(of).eqNullSafe(F.col("_ms"))).drop("_mx", "_ms")
+    return pairs.where("_a <> _z").select(F.least("_a", "_z").alias("left_id"), F.greatest("_a", "_z").alias("right_id"), "distance")
 
 
 def latest(ledger: DataFrame, keys: Sequence[str], sequence: Sequence[str]) -> DataFrame:
@@ -231,7 +270,7 @@ def audit_catalog(entities: DataFrame, visuals: DataFrame, assets: DataFrame, ma
     not an image); manifest: text, lines of the snapshot's file.
 
     Mismatches come from one join of visuals with files, labels and digests from one
-    grouping each, near duplicates from the banded join; related ids are joined in order.
+    grouping each, near duplicates from the join by agreeing blocks of bits; related ids are joined in order.
     """
     none = F.lit(None).cast("string")
 

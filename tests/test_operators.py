@@ -137,6 +137,33 @@ def test_near_duplicates_of_equal_hash_and_other_content(spark, tmp_path):
     assert rows(queries()["dup_near_pairs"](spark, str(tmp_path))) == [(1, 2, 0), (2, 3, 0)]
 
 
+def test_hashes_with_constant_bits_are_not_compared_all_with_all(spark):
+    from collections import Counter
+    from itertools import combinations
+    from math import comb
+
+    n = 4096
+    hashes = [((k // 4) * 2654435761) ^ (k % 4) for k in range(n)]
+
+    def compared(masks, distance):
+        choices = [sum(c) for c in combinations(masks, len(masks) - distance)]
+        return sum(comb(c, 2) for m in choices for c in Counter(x & m for x in hashes).values())
+
+    edges = [64 * k // 5 for k in range(6)]
+    assert compared([(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)], 4) > comb(n, 2)  # bands by place: all pairs
+    masks = C.agreement_blocks(n, [sum(x >> k & 1 for x in hashes) for k in range(64)], 4)
+    assert sum(masks) == (1 << 64) - 1 and all(masks) and compared(masks, 4) < comb(n, 2) / 50
+    for some in (0, 1):
+        assert sum(C.agreement_blocks(some, [some] * 64, 16)) == (1 << 64) - 1
+    few = hashes[:400] + [~x for x in hashes[:50]] + hashes[:5] + [x ^ (15 << 60) for x in hashes[:50]]
+    few = [x - (1 << 64) if x >> 63 else x for x in (x & ((1 << 64) - 1) for x in few)]
+    df = spark.createDataFrame([(k, x, f"s{k % 7}" if k % 5 else None) for k, x in enumerate(few)], "id long, x long, sha string")
+    for distance in (0, 4, 16):
+        want = sorted((i, j, ((a ^ b) & ((1 << 64) - 1)).bit_count()) for i, a in enumerate(few) for j, b in enumerate(few[i + 1 :], i + 1))
+        want = [w for w in want if w[2] <= distance and (w[0] % 7, w[0] % 5 == 0) != (w[1] % 7, w[1] % 5 == 0) and (w[0] % 5 or w[1] % 5)]
+        assert rows(C.near_duplicates(df, "id", "x", distance, "sha")) == want
+
+
 def test_ranking_limits_groups_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 10 as q", "rand(1) as s", "id")
     assert "WindowGroupLimit" in R.top_k(df, "q", "s", ["id"], 3)._jdf.queryExecution().executedPlan().toString()
