@@ -1,17 +1,21 @@
 """Main text of web pages: page structure and a suffix array of each host.
 
-A page is read once, tag by tag, into blocks of three zones: content (inside an article
+A page is read tag by tag into blocks of three zones: content (inside an article
 or main element), ruled out (menus, page headers, footers, sidebars, notices, adverts,
 forms, comments, by element, role and class, wherever they stand; scripts, styles and
 templates are not even read), and the rest, of which structure says nothing.
 
-Host suffix array: the token streams of all pages of a host, of what stands outside their
-content, are concatenated; the suffix array brings equal substrings together; runs of
-``MIN_WORDS`` words that at least max(``MIN_PAGES``, ``MIN_SHARE`` of the pages) distinct
-pages hold are boilerplate.  It decides on the blocks of the third zone, which are the
-text of pages without a content element: words that such runs cover go, unique runs
-stay.  What a page's own structure marks as its article stays whole, since articles may
-be repeated word for word on other pages of their host.  (The README has the figures of
+Host suffix array: the whole token streams of all pages of a host, what stands outside the
+content first and then the content, are concatenated; the suffix array brings equal
+substrings together; runs of ``MIN_WORDS`` words that at least max(``MIN_PAGES``,
+``MIN_SHARE`` of the pages) distinct pages hold outside their content are boilerplate.  The
+words that such runs cover, anywhere on a page, are to go; unique runs stay.
+
+Check by structure, after it: of a page with a content element that element is the text and
+whole, so words of it that the array would cut are restored (and counted, ``n_restored``),
+since articles may be repeated word for word on other pages of their host, and what stands
+outside goes; of a page without one, the blocks of the third zone are the text, as the array
+left them.  Every row comes out of the array's pass.  (The README has the figures of
 repetition alone.)
 
 Distinct pages: equal pages are one page.  So are near copies (of the whole page, content
@@ -20,10 +24,12 @@ as they do where half of their distinct runs are shared (found by bands, also by
 so that what repeats only since its page does is kept; a page that would be left
 without a word keeps all of them.
 
-Scale: streams of a large host are dealt by hash to groups of a bounded number of words,
-each with a suffix array of its own; the groups' (run, page class) pairs are counted
-over the whole host before anything is removed, so a large host is judged like a small
-one, in many tasks.  A class is known across groups by the four numbers of the signature
+Scale: pages of a large host (by letters of html, before any is read) are dealt to groups of
+a bounded number of words, each with a suffix array of its own.  What stands outside the
+content is dealt first, equal pages once for each task, and the groups' (run, page class)
+pairs are counted over the whole host before anything is removed, so a large host is judged
+like a small one, in many tasks; then the whole pages are dealt at random, so copies of one
+page are no one task's.  A class is known across groups by the four numbers of the signature
 that most of its pages share.  Runs are counted by 64-bit hashes of their words.
 
 Blocks: character references are decoded (HTML rules, also without a semicolon where
@@ -48,12 +54,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SMALL_ROWS, Scratch, join_by_hot_key, need, prepare, texts_of
+from tessera.llm.common import SMALL_ROWS, Scratch, need, prepare, texts_of
 from tessera.llm.decontaminate import suffix_array
 
 MIN_WORDS, MIN_SHARE, MIN_PAGES = 6, 0.1, 3
 #: Words of a host that one suffix array holds.
 GROUP_WORDS = 1 << 20
+#: Letters of markup and text for each word, by which hosts are measured before pages are read.
+WORD_LETTERS = 8
 #: Numbers of a page's signature; those of a band that find near copies; those that name a class.
 MINIMA, BAND_ROWS, NAMED = 48, 3, 4
 #: Streams that a task knows as read before.
@@ -235,69 +243,90 @@ def page_classes(signatures: np.ndarray, share: float = NEAR_COPY) -> np.ndarray
 
 
 class HostRuns:
-    """The suffix array of the streams of distinct pages, and their runs of min_words words."""
+    """The suffix array of the whole streams of distinct pages, and their runs of min_words words.
 
-    def __init__(self, pages: list[list[str]], min_words: int = MIN_WORDS):
+    outside: how many of each page's first blocks lie outside its article (by default all);
+    only runs of these blocks are evidence of boilerplate.
+    """
+
+    def __init__(self, pages: list[list[str]], min_words: int = MIN_WORDS, outside: list[int] | None = None):
         self.pages, self.min_words = pages, min_words
-        vocabulary: dict[str, int] = {}
-        symbols, self.words, home = [], [], []
-        for p, blocks in enumerate(pages):
-            for block in blocks:
-                for w in block.split():
-                    symbols.append(vocabulary.setdefault(w, len(vocabulary) + 1))
-                    self.words.append(w)
-                    home.append(p)
-            symbols.append(-p)  # a symbol of its own ends each page's stream
-            self.words.append("")
-            home.append(p)
-        line, owner = np.array(symbols, np.int64) + len(pages), np.array(home, np.int64)
+        lines = [" ".join(blocks).split() for blocks in pages]
+        self.words: list[str] = []
+        for line in lines:
+            self.words += line
+            self.words.append("")  # a symbol of its own ends each page's stream
+        vocabulary = {w: k for k, w in enumerate(dict.fromkeys(self.words))}
+        ends = np.cumsum(np.array([len(line) + 1 for line in lines], np.int64)) - 1
+        self.begin = np.concatenate((np.zeros(1, np.int64), ends + 1))[: len(pages)]
+        owner = np.repeat(np.arange(len(pages)), ends + 1 - self.begin)
+        line = np.fromiter(map(vocabulary.__getitem__, self.words), np.int64, len(self.words))
+        names = word_hashes(vocabulary)[line] if len(line) else np.zeros(0, np.uint64)
+        line += len(pages) + 1
+        line[ends] = len(pages) - np.arange(len(pages))
         n = len(line)
-        sa = suffix_array(line)
+        # Ranks of as many words at once as a number holds: fewer rounds, the same order.
+        ranks, base, k = line, int(line.max(initial=0)) + 1, 1
+        while n and base ** (k + 1) < 1 << 62:
+            ranks = ranks * base + np.append(line[k:], np.zeros(min(k, n), np.int64))
+            k += 1
+        sa = suffix_array(ranks)
         same = np.ones(max(n - 1, 0), bool)  # neighbours in the suffix array that share min_words words
         for k in range(min_words):
             a, b = sa[:-1] + k, sa[1:] + k
             same &= (a < n) & (b < n)
             same &= line[np.minimum(a, n - 1)] == line[np.minimum(b, n - 1)]
         group = np.concatenate(([0], np.cumsum(~same)))[:n]
-        ends = np.nonzero(line <= len(pages))[0]
         whole = ends[owner[sa]] - sa >= min_words if n else np.zeros(0, bool)  # the run lies in its page
         #: Starts of whole runs in the line, and the number of each one's run.
         self.starts = sa[whole]
         first, self.run = np.unique(group[whole], return_index=True, return_inverse=True)[1:]
-        names = np.zeros(len(line), np.uint64)
-        inner = line > len(pages)
-        names[inner] = word_hashes(vocabulary)[line[inner] - len(pages) - 1]
         self.hash = run_hashes(names, self.starts[first], min_words)
-        self.size, self.owner = n, owner
-        #: Distinct (run, page) pairs, by page.
-        pairs = np.unique(owner[self.starts] * max(len(first), 1) + self.run)
+        self.size, self.owner, self.ends = n, owner, ends
+        #: Where the words outside the article end.
+        self.article = ends if outside is None else self.begin + np.array([sum(len(x.split()) for x in blocks[:o]) for blocks, o in zip(pages, outside, strict=True)], np.int64)
+        #: Distinct (run, page) pairs outside articles, by page.
+        out = self.starts + min_words <= self.article[owner[self.starts]] if n else whole
+        pairs = np.unique(owner[self.starts[out]] * max(len(first), 1) + self.run[out])
         self.pair_page, self.pair_run = np.divmod(pairs, max(len(first), 1))
 
     def evidence(self, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(run hash, class) of each distinct pair, and the distinct classes."""
-        alike = page_classes(signatures)
+        """(run hash, class) of each distinct pair, and the distinct classes; of the pages that
+        have words outside an article."""
+        some, alike = self.article > self.begin, np.zeros(len(self.pages), np.uint64)
+        alike[some] = page_classes(signatures[some])
         pairs = np.unique(np.stack((self.hash[self.pair_run], alike[self.pair_page])), axis=1)
-        return pairs[0], pairs[1], np.unique(alike)
+        return pairs[0], pairs[1], np.unique(alike[some])
 
-    def kept_own(self, own: list[int | None], boilerplate: np.ndarray) -> list[str | None]:
-        """The text of each page's first blocks, own of them, without the words that
-        boilerplate covers; None where own is None."""
-        cut = [blocks[:n] if n is not None else [] for blocks, n in zip(self.pages, own, strict=True)]
-        return [None if n is None else "\n".join(k) for n, k in zip(own, self.kept(boilerplate, cut), strict=True)]
+    def covered(self, boilerplate: np.ndarray) -> np.ndarray:
+        """Whether boilerplate runs (hashes) cover each place of the line."""
+        starts = self.starts[np.isin(self.hash, boilerplate)[self.run]] if len(self.hash) else self.starts
+        marks = np.zeros(self.size + self.min_words + 1, np.int64)
+        np.add.at(marks, starts, 1)
+        np.add.at(marks, starts + self.min_words, -1)
+        return np.cumsum(marks)[: self.size] > 0
+
+    def checked(self, boilerplate: np.ndarray, own: list[int | None], outside: list[int]) -> tuple[list[str], list[int]]:
+        """The text of each page: its words without those that boilerplate covers, checked by
+        structure; and how many words the check restored.
+
+        own: how many first blocks are the text of a page without an article.  Where it is
+        None, the blocks from ``outside`` on are the article, which is restored whole.
+        """
+        covered = np.concatenate(([0], np.cumsum(self.covered(boilerplate))))
+        kept = self.kept(boilerplate, [blocks[: n or 0] for blocks, n in zip(self.pages, own, strict=True)])
+        texts = ["\n".join(blocks[o:] if n is None else k) for blocks, n, o, k in zip(self.pages, own, outside, kept, strict=True)]
+        return texts, np.where([n is None for n in own], covered[self.ends] - covered[self.article], 0).tolist() if texts else []
 
     def kept(self, boilerplate: np.ndarray, pages: list[list[str]] | None = None) -> list[list[str]]:
         """The blocks of each page (or its first ones, as given) without the words that
         boilerplate runs (hashes) cover; a page of such words alone keeps its blocks."""
         pages = self.pages if pages is None else pages
-        starts = self.starts[np.isin(self.hash, boilerplate)[self.run]] if len(self.hash) else self.starts
-        marks = np.zeros(self.size + self.min_words + 1, np.int64)
-        np.add.at(marks, starts, 1)
-        np.add.at(marks, starts + self.min_words, -1)
-        covered = np.cumsum(marks)[: self.size] > 0
-        out: list[list[str]] = [[] for _ in pages]
-        begin = np.searchsorted(self.owner, np.arange(len(pages)))
-        for p, blocks in enumerate(pages):
-            at = int(begin[p])
+        covered = self.covered(boilerplate)
+        touched = np.unique(self.owner[covered]) if self.size else covered
+        out = [list(blocks) for blocks in pages]
+        for p in touched.tolist():
+            blocks, out[p], at = pages[p], [], int(self.begin[p])
             for block in blocks:
                 n = len(block.split())
                 mine, text = covered[at : at + n], self.words[at : at + n]
@@ -331,81 +360,89 @@ def unique_runs(pages: list[list[str]]) -> list[list[str]]:
 
 
 def extract_text(pages: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+    """page_id, url, text, n_chars of every page, and n_restored: words of its article that
+    the host's boilerplate runs cover and structure restored."""
     spark = pages.sparkSession
     prepare(spark)
     pages = need(pages, "page_id", "url", "html").withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)), F.lit("")))
     kind = pages.schema["page_id"].dataType.simpleString()
 
+    def pages_of(b: pa.RecordBatch):
+        """(blocks outside the article, its blocks, how many of the former are the text if it has none, a number of all this)."""
+        for raw in texts_of(b.column("html")):
+            content, other, out, found = read_page(raw.decode("utf-8")) if raw else ([], [], [], True)
+            # Own blocks first: they are the text that is still to be decided on.
+            stream, own = other + out, None if found else len(other)
+            yield stream, content, own, xxhash.xxh64_intdigest("\0".join(("\n".join(content), "\n".join(stream), str(own)))) - (1 << 63)
+
     def parse(batches):
+        for b in batches:
+            read = list(pages_of(b))
+            columns = [pa.array([own for _, _, own, _ in read], pa.int32()), pa.array([len(s) for s, _, _, _ in read], pa.int32()), pa.array([n for _, _, _, n in read], pa.int64()), pa.array([s + c for s, c, _, _ in read], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), *columns], ["page_id", "url", "host", "own", "outside", "stream_no", "stream"])
+
+    def parse_outside(batches):
+        """What stands outside the articles, once for each distinct page that a task has read."""
         known: set[tuple[str, int]] = set()
         for b in batches:
-            texts, streams, own, names, words, signs = [], [], [], [], [], []
-            for raw, host in zip(texts_of(b.column("html")), b.column("host").to_pylist(), strict=True):
-                content, other, out, found = read_page(raw.decode("utf-8")) if raw else ([], [], [], True)
-                texts.append("\n".join(content) if found else None)
-                # Own blocks first: they are the text that is still to be decided on.
-                stream = other + out
-                own.append(None if found else len(other))
-                names.append(xxhash.xxh64_intdigest("\0".join(("\n".join(content), "\n".join(stream), str(own[-1])))) - (1 << 63))
-                words.append(sum(x.count(" ") + 1 for x in stream))
-                first = (host, names[-1]) not in known
-                if first:
+            rows = []
+            for (stream, content, _, number), host in zip(pages_of(b), b.column("host").to_pylist(), strict=True):
+                if stream and (host, number) not in known:
                     if len(known) >= KNOWN_STREAMS:
                         known.clear()
-                    known.add((host, names[-1]))
-                signs.append(signature(content + stream).tobytes() if first and stream else None)
-                streams.append(stream if first else None)
-            columns = [pa.array(texts, pa.string()), pa.array(own, pa.int32()), pa.array(names, pa.int64()), pa.array(words, pa.int64()), pa.array(signs, pa.binary()), pa.array(streams, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), *columns], ["page_id", "url", "host", "text", "own", "stream_no", "words", "sign", "stream"])
+                    known.add((host, number))
+                    rows.append((host, number, signature(content + stream).tobytes(), stream))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.list_(pa.string())), strict=True)], ["host", "stream_no", "sign", "stream"])
+
+    def distinct(part: pa.Table) -> pa.Table:
+        """One row a page of those that are equal."""
+        return part.take(pa.array(np.unique(part.column("stream_no").to_numpy(), return_index=True)[1]))
+
+    def evidence(key, part: pa.Table) -> pa.Table:
+        """The (kind 1) runs and (kind 2) classes of a part of a large host."""
+        part = distinct(part)
+        run, alike, classes = HostRuns(part.column("stream").to_pylist()).evidence(np.frombuffer(b"".join(part.column("sign").to_pylist()), np.int32).reshape(-1, MINIMA))
+        n, m = len(run), len(classes)
+        return pa.table({"kind": pa.array([1] * n + [2] * m, pa.int32()), "host": pa.array([key[0].as_py()] * (n + m), pa.string()), "class": pa.array(np.concatenate((alike, classes)).view(np.int64)), "run": pa.array(np.concatenate((run, np.zeros(m, np.uint64))).view(np.int64))})
+
+    def decide(part: pa.Table, runs: pa.Table | None = None) -> pa.Table:
+        """The texts of a host's pages by its suffix array; runs are those of a large host."""
+        one = distinct(part)
+        own, outside, streams = (one.column(c).to_pylist() for c in ("own", "outside", "stream"))
+        host = HostRuns(streams, outside=outside)
+        if not len(one):
+            boilerplate = np.zeros(0, np.uint64)
+        elif one.column("parts")[0].as_py() == 1:
+            signs = [signature(s[o:] + s[:o]) if o else np.zeros(MINIMA, np.int32) for s, o in zip(streams, outside, strict=True)]
+            run, _, classes = host.evidence(np.stack(signs))
+            boilerplate = frequent(run, len(classes))
+        else:
+            boilerplate = runs.column("run").to_numpy().view(np.uint64)
+        texts, restored = host.checked(boilerplate, own, outside)
+        at = np.searchsorted(one.column("stream_no").to_numpy(), part.column("stream_no").to_numpy())
+        return pa.table([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()).take(pa.array(at)), pa.array(restored, pa.int64()).take(pa.array(at))], names=["page_id", "url", "text", "n_restored"])
 
     scratch = Scratch(spark, "pages")
-    read = scratch.save(pages.mapInArrow(parse, f"page_id {kind}, url string, host string, text string, own int, stream_no long, words long, sign binary, stream array<string>"), "read")
-    streams = read.where("stream is not null and words > 0")
-    large = scratch.save(streams.groupBy("host").agg(F.ceil(F.sum("words") / group_words).alias("parts")).where("parts > 1"), "large")
-    few = large.count() <= SMALL_ROWS
-    dealt = streams.select("host", "stream_no", "own", "sign", "stream").join(F.broadcast(large) if few else large, "host", "left")
-    dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod("stream_no", "parts"))
-
-    def distinct(part: pa.Table) -> tuple[list[int], list, list[list[str]], np.ndarray]:
-        """Tasks that read equal pages gave each once: one row a page is left."""
-        numbers, at = np.unique(part.column("stream_no").to_numpy(), return_index=True)
-        part = part.take(pa.array(at))
-        signs = np.frombuffer(b"".join(part.column("sign").to_pylist()), np.int32).reshape(-1, MINIMA)
-        return numbers.tolist(), part.column("own").to_pylist(), part.column("stream").to_pylist(), signs
-
-    def decided(key, numbers: list[int], own: list, host: HostRuns, boilerplate: np.ndarray) -> pa.Table:
-        kept = host.kept_own(own, boilerplate)
-        some = [i for i, k in enumerate(kept) if k is not None]
-        return pa.table({"kind": pa.array([0] * len(some), pa.int32()), "host": pa.array([key] * len(some), pa.string()), "stream_no": pa.array([numbers[i] for i in some], pa.int64()), "run": pa.array([0] * len(some), pa.int64()), "text": pa.array([kept[i] for i in some], pa.string())})
-
-    def first_pass(key, part: pa.Table) -> pa.Table:
-        """Small hosts are decided; of large ones (kind 1) the runs and (kind 2) the classes are given."""
-        numbers, own, texts, signs = distinct(part)
-        host = HostRuns(texts)
-        run, alike, classes = host.evidence(signs)
-        if part.column("parts")[0].as_py() == 1:
-            return decided(key[0].as_py(), numbers, own, host, frequent(run, len(classes)))
-        n, m = len(run), len(classes)
-        return pa.table({"kind": pa.array([1] * n + [2] * m, pa.int32()), "host": pa.array([key[0].as_py()] * (n + m), pa.string()), "stream_no": pa.array(np.concatenate((alike, classes)).view(np.int64)), "run": pa.array(np.concatenate((run, np.zeros(m, np.uint64))).view(np.int64)), "text": pa.nulls(n + m, pa.string())})
-
-    schema = "kind int, host string, stream_no long, run long, text string"
-    first = scratch.save(dealt.groupBy("host", "part").applyInArrow(lambda key, part: first_pass(key, part), schema), "first")
-    told = first.where("kind = 0").select("host", "stream_no", "text")
-    if not large.isEmpty():
-        totals = first.where("kind = 2").groupBy("host").agg(F.countDistinct("stream_no").alias("classes"))
-        counted = first.where("kind = 1").select("host", "run", "stream_no").distinct().groupBy("host", "run").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-        runs = counted.join(totals, "host").where(F.col("n") >= F.greatest(F.lit(float(MIN_PAGES)), MIN_SHARE * F.col("classes"))).select("host", "run")
-        runs = runs.join(F.broadcast(large) if few else large, "host").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-
-        def second_pass(key, part: pa.Table, runs: pa.Table) -> pa.Table:
-            numbers, own, texts, _ = distinct(part)
-            return decided(key[0].as_py(), numbers, own, HostRuns(texts), runs.column("run").to_numpy().view(np.uint64))
-
-        rest = dealt.where("parts > 1").groupBy("host", "part").cogroup(runs.select("host", "part", "run").groupBy("host", "part"))
-        told = told.unionByName(rest.applyInArrow(lambda key, part, runs: second_pass(key, part, runs) if part.num_rows else decided(key[0].as_py(), [], [], HostRuns([]), np.zeros(0, np.uint64)), schema).select("host", "stream_no", "text"))
-    # Of each stream one text (tasks may have read it too), and how many pages have it.
-    todo = read.where("text is null")
-    told = scratch.save(told.groupBy("host", "stream_no").agg(F.first("text").alias("told")).join(todo.groupBy("host", "stream_no").agg(F.count("*").alias("n")), ["host", "stream_no"], "right"), "told")
-    late = join_by_hot_key(todo.select("host", "stream_no", "page_id", "url"), told, ["host", "stream_no"], "n").select("page_id", "url", F.coalesce("told", F.lit("")).alias("text"))
-    return read.where("text is not null").select("page_id", "url", "text").unionByName(late).withColumn("n_chars", F.length("text").cast("long"))
+    letters = F.sum(F.coalesce(F.length("html"), F.lit(0)))
+    large = scratch.save(pages.groupBy("host").agg(F.ceil(letters / (group_words * WORD_LETTERS)).alias("parts")).where("parts > 1"), "large")
+    some = not large.isEmpty()
+    parts = F.broadcast(large) if large.count() <= SMALL_ROWS else large
+    read = pages.mapInArrow(parse, f"page_id {kind}, url string, host string, own int, outside int, stream_no long, stream array<string>")
+    # A page of any number of copies: rows are dealt at random, not by what they hold.
+    dealt = read.join(parts, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.floor(F.rand(5) * F.col("parts"))) if some else read.withColumn("parts", F.lit(1).cast("long")).withColumn("part", F.lit(0).cast("long"))
+    schema = f"page_id {kind}, url string, text string, n_restored long"
+    groups = dealt.groupBy("host", "part")
+    if some:
+        streams = pages.join(parts.select("host"), "host", "left_semi").mapInArrow(parse_outside, "host string, stream_no long, sign binary, stream array<string>")
+        streams = streams.join(parts, "host").withColumn("part", F.pmod("stream_no", "parts"))
+        told = scratch.save(streams.groupBy("host", "part").applyInArrow(lambda key, part: evidence(key, part), "kind int, host string, class long, run long"), "told")
+        totals = told.where("kind = 2").groupBy("host").agg(F.countDistinct("class").alias("classes"))
+        counted = told.where("kind = 1").select("host", "run", "class").distinct().groupBy("host", "run").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+        runs = scratch.save(counted.join(totals, "host").where(F.col("n") >= F.greatest(F.lit(float(MIN_PAGES)), MIN_SHARE * F.col("classes"))).select("host", "run"), "runs")
+        scratch.drop("told")
+        runs = runs.join(parts, "host").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        out = groups.cogroup(runs.select("host", "part", "run").groupBy("host", "part")).applyInArrow(lambda part, runs: decide(part, runs), schema)
+    else:
+        out = groups.applyInArrow(lambda part: decide(part), schema)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_restored")

@@ -39,7 +39,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages"))
+    return extract_text(table(spark, sf_dir, "pages")).drop("n_restored")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,36 @@ def test_large_hosts_are_judged_like_small_ones(spark):
     assert whole[400] == prose(77)  # the menu of the host's marked pages is known
 
 
+def test_articles_go_through_the_host_array_too(spark):
+    menu, foot = "home news sport culture contact about", "all rights are kept by the makers"
+    pages = [(k, f"http://h.example/{k}", f"<nav>{menu}</nav><article><p>{prose(k)}</p></article><p>{foot}</p>") for k in range(20)]
+    pages += [(20, "http://h.example/quote", f"<nav>{menu}</nav><article><p>{prose(20)}</p><p>They wrote {menu} there</p><p>{foot} and more</p></article>")]
+    pages += [(21, "http://h.example/plain", f"<div>{menu}</div><p>{prose(21)}</p><p>{foot}</p>"), (22, "http://h.example/none", None)]
+    pages += [(30 + k, "http://h.example/copies", f"<article><p>{prose(40)}</p></article>") for k in range(5)]  # articles are no evidence
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    for words in (1 << 20, 300, 5):  # one part, several, more parts than pages
+        got = {r["page_id"]: (r["text"], r["n_restored"]) for r in extract_text(df, group_words=words).collect()}
+        assert len(got) == len(pages) and all(got[k] == (prose(k), 0) for k in range(20)) and all(got[30 + k] == (prose(40), 0) for k in range(5))
+        assert got[20] == (f"{prose(20)}\nThey wrote {menu} there\n{foot} and more", 13)  # 6 and 7 words that the array alone would cut
+        assert got[21] == (prose(21), 0) and got[22] == ("", 0)
+
+
+def test_array_of_whole_pages_matches_brute_force():
+    r = random.Random(3)
+    menu = [prose(k, 8) for k in range(3)]
+    pages = [[r.choice(menu), prose(100 + k, 20), r.choice(menu), prose(200 + k % 5, 30)] for k in range(30)]
+    host = HostRuns(pages, outside=[3] * 30)
+    outer, whole = brute_runs([p[:3] for p in pages]), brute_runs(pages)
+    assert len(host.hash) == len(whole) and len(host.pair_run) == sum(map(len, outer.values()))
+    run, _, classes = host.evidence(np.stack([signature([prose(500 + k)]) for k in range(30)]))
+    common = {w for w, p in outer.items() if len(p) >= 3}
+    assert len(classes) == 30 and len(frequent(run, 30)) == len(common)
+    texts, restored = host.checked(frequent(run, 30), [None] * 15 + [3] * 15, [3] * 30)
+    assert texts[:15] == [p[3] for p in pages[:15]] and restored == [0] * 30
+    assert texts[15:] == [p[1] for p in pages[15:]]
+    assert HostRuns([]).checked(np.zeros(0, np.uint64), [], []) == ([], [])
+
+
 def test_copied_rows_of_an_unmarked_page_stay(spark):
     text = prose(0)
     pages = [(k // 2, f"http://h.example/{k // 2}", f"<div><p>{text}</p></div>") for k in range(12)]
