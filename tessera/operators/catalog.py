@@ -86,6 +86,16 @@ def exact_duplicates(df: DataFrame, key: str, digest: str, group: str) -> DataFr
     return df.groupBy(digest).agg(F.count("*").alias("members"), F.countDistinct(group).alias("classes"), F.min(key).alias("first_member")).where("classes > 1")
 
 
+def by_shuffle(side: DataFrame) -> DataFrame:
+    """side, to be joined where the keys meet, never by a broadcast.
+
+    Spark broadcasts what it takes to be below the session's threshold, from the size of the
+    files: a million rows of a well-compressed table count as a few MB there and as hundreds
+    in the driver.  For sides that grow with the data.
+    """
+    return side.hint("merge")
+
+
 #: A row sent to a join costs as much as so many pairs that are compared there; choices of blocks at most.
 ROW_COST, CHOICES = 20, 256
 
@@ -126,7 +136,7 @@ def near_hashes(hashes: DataFrame, distance: int) -> DataFrame:
     choices = [(sum(1 << j for j in c), sum(masks[j] for j in c)) for c in combinations(range(len(masks)), len(masks) - distance)]
     cut = F.explode(F.array(*[F.struct(F.lit(c).alias("choice"), F.col("_x").bitwiseAND(long(m)).alias("value")) for c, m in choices]))
     rows = hashes.select("_x", cut.alias("_b")).select("_x", "_b.*")
-    pairs = rows.withColumnRenamed("_x", "_l").join(rows.withColumnRenamed("_x", "_r"), ["choice", "value"])
+    pairs = rows.withColumnRenamed("_x", "_l").join(by_shuffle(rows.withColumnRenamed("_x", "_r")), ["choice", "value"])
     differ = F.col("_l").bitwiseXOR(F.col("_r"))
     agreed = F.lit(0)
     for j, m in enumerate(masks):
@@ -150,11 +160,11 @@ def near_duplicates(df: DataFrame, key: str, bits: str, distance: int = 4, conte
         links = links.unionByName(hashes.select(F.col("_x").alias("_l"), F.col("_x").alias("_r"), F.lit(0).alias("distance")))
     classes = own.select("_x", "_s").distinct()
     left, right = classes.select(F.col("_x").alias("_l"), F.col("_s").alias("_ls")), classes.select(F.col("_x").alias("_r"), F.col("_s").alias("_rs"))
-    pairs = links.join(left, "_l").join(right, "_r").where(~F.col("_ls").eqNullSafe(F.col("_rs")))
+    pairs = links.join(by_shuffle(left), "_l").join(by_shuffle(right), "_r").where(~F.col("_ls").eqNullSafe(F.col("_rs")))
     pairs = pairs.where((F.col("_l") < F.col("_r")) | (F.col("_ls").isNull() & F.col("_rs").isNotNull()) | (F.col("_ls") < F.col("_rs")))
     for side, of, member in (("_l", "_ls", "_a"), ("_r", "_rs", "_z")):
         members = own.select(F.col("_id").alias(member), F.col("_x").alias("_mx"), F.col("_s").alias("_ms"))
-        pairs = pairs.join(members, (F.col(side) == F.col("_mx")) & F.col(of).eqNullSafe(F.col("_ms"))).drop("_mx", "_ms")
+        pairs = pairs.join(by_shuffle(members), (F.col(side) == F.col("_mx")) & F.col(of).eqNullSafe(F.col("_ms"))).drop("_mx", "_ms")
     return pairs.where("_a <> _z").select(F.least("_a", "_z").alias("left_id"), F.greatest("_a", "_z").alias("right_id"), "distance")
 
 
@@ -281,7 +291,7 @@ def audit_catalog(entities: DataFrame, visuals: DataFrame, assets: DataFrame, ma
     label = normalize_label(F.col("canonical_name"))
     named = entities.withColumn("_label", label)
     now = assets.select("asset_path", *[F.col(c).alias(f"_{c}") for c in ("sha256", "phash", "width", "height", "mime_type")])
-    both = visuals.join(now, "asset_path", "left")
+    both = visuals.join(by_shuffle(now), "asset_path", "left")
     bad = F.col("_sha256").isNull()
     ratio = F.col("_width") / F.col("_height")
     tests = F.array(*[F.when(test, code) for code, test in (
@@ -298,7 +308,9 @@ def audit_catalog(entities: DataFrame, visuals: DataFrame, assets: DataFrame, ma
     classes = good.select(F.col("id").alias("_vid"), "entity_id")
     pairs = near_duplicates(good, "id", "bits", 4, "sha")
     left, right = pairs.columns[:2]
-    pairs = pairs.join(classes.withColumnRenamed("entity_id", "_ca"), F.col(left) == F.col("_vid")).drop("_vid").join(classes.withColumnRenamed("entity_id", "_cb"), F.col(right) == F.col("_vid")).where("_ca <> _cb")
+    for side, of in ((left, "_ca"), (right, "_cb")):
+        pairs = pairs.join(by_shuffle(classes.withColumnRenamed("entity_id", of)), F.col(side) == F.col("_vid")).drop("_vid")
+    pairs = pairs.where("_ca <> _cb")
     secret = manifest.where(holds_secret(F.col("text"))).limit(1)
     found = [
         issue(named.where(F.col("_label").isin(*PLACEHOLDERS)), "placeholder_record", F.col("id")), issue(named.where("review_status <> 'approved'"), "unreviewed_class", F.col("id")),

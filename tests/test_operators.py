@@ -164,6 +164,21 @@ def test_hashes_with_constant_bits_are_not_compared_all_with_all(spark):
         assert rows(C.near_duplicates(df, "id", "x", distance, "sha")) == want
 
 
+def test_audit_joins_no_side_through_the_driver(spark, sf_small):
+    from tessera.plans.catalogue import queries
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        for name in ("catalog_audit_all", "dup_near_pairs"):
+            got = queries()[name](spark, sf_small)
+            assert got.collect()
+            plan = got._jdf.queryExecution().executedPlan().toString()  # as it ran, with what the sizes changed meanwhile
+            assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_ranking_limits_groups_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 10 as q", "rand(1) as s", "id")
     assert "WindowGroupLimit" in R.top_k(df, "q", "s", ["id"], 3)._jdf.queryExecution().executedPlan().toString()
